@@ -18,13 +18,16 @@ def flag(cond: Column) -> Column:
 
 
 def pos(c: Column) -> Column:
-    """The value where it is > 0, else NULL."""
-    return F.when(c > 0, c)
+    """The value where it is > 0 and finite, else NULL.  Spark (like
+    DuckDB) orders NaN above +inf, so ``c < inf`` drops NaN and inf in
+    one comparison and the input is referenced only twice."""
+    return F.when((c > 0) & (c < F.lit(INF)), c)
 
 
 def finite(c: Column) -> Column:
-    """NULL for NaN and +/-inf, the value otherwise."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(INF)), c)
+    """NULL for NaN and +/-inf, the value otherwise (abs(NaN) is NaN,
+    which is not < inf)."""
+    return F.when(F.abs(c) < F.lit(INF), c)
 
 
 def log10_pos(c: Column) -> Column:

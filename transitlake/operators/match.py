@@ -39,13 +39,23 @@ def disposition_rank(c):
 
 
 def _halo_frame(df: DataFrame, ra: str, ra_tol: float, cell_width: float) -> DataFrame:
+    """Each row once as core in its cell, and once more as halo in the
+    previous cell when it lies within 2*ra_tol of the cell start.  One
+    pass over the input (explode), not a union that scans it twice."""
     cell = F.floor(F.col(ra) / F.lit(cell_width))
-    core = df.withColumn("_cell", cell).withColumn("_core", F.lit(True))
-    halo = (df.withColumn("_cell", cell)
-              .where(F.col(ra) - F.col("_cell") * F.lit(cell_width) < F.lit(2 * ra_tol))
-              .withColumn("_cell", F.col("_cell") - 1)
-              .withColumn("_core", F.lit(False)))
-    return core.unionByName(halo)
+    with_cell = df.withColumn("_c", cell)
+    near_start = F.col(ra) - F.col("_c") * F.lit(cell_width) < F.lit(2 * ra_tol)
+    copies = F.when(near_start, F.array(
+        F.struct(F.col("_c").alias("cell"), F.lit(True).alias("core")),
+        F.struct((F.col("_c") - 1).alias("cell"), F.lit(False).alias("core")),
+    )).otherwise(F.array(F.struct(F.col("_c").alias("cell"), F.lit(True).alias("core"))))
+    out = with_cell.select("*", F.inline(copies)).drop("_c")
+    return out.withColumnRenamed("cell", "_cell").withColumnRenamed("core", "_core")
+
+
+def positioned(df: DataFrame, ra: str = RA, dec: str = DEC, period: str = PERIOD) -> DataFrame:
+    """Rows with position and period."""
+    return df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull() & F.col(period).isNotNull())
 
 
 def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
@@ -60,7 +70,7 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
     """
     if cell_width <= 2 * ra_tol:
         raise ValueError("cell_width must exceed 2 * ra_tol")
-    base = (df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull() & F.col(period).isNotNull())
+    base = (positioned(df, ra, dec, period)
               .select(F.col(row_id).alias("rid"), F.col(ra).alias("ra"), F.col(dec).alias("dec"),
                       F.col(period).alias("per"), F.col(mission).alias("mis"),
                       F.col(disposition).alias("disp")))
@@ -97,6 +107,8 @@ def remove_cross_mission_duplicates(df: DataFrame, row_id: str = ROW_ID,
     """
     if not all(c in df.columns for c in required):
         return df
-    kept = df.dropna(subset=[RA, DEC, PERIOD])
+    kept = positioned(df)
+    # dup_pairs applies the same filter, so both branches share one
+    # subtree and Spark reuses its exchange instead of computing it twice.
     losers = dup_pairs(kept, row_id=row_id, **kw).select(F.col("drop_id").alias(row_id)).distinct()
     return kept.join(losers, on=row_id, how="left_anti")

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "transitlake.plans.catalog_queries",
+    "transitlake.plans.report_queries",
 ]
 
 
