@@ -1,0 +1,20 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after counting it (one job on a small side);
+    above ``max_rows`` it is returned as is and Spark plans a shuffle join.
+
+    Use for sides whose size is not bounded by construction.  Sides that
+    come out of an aggregate inside the same plan are better left to AQE,
+    which measures the materialized shuffle and converts to a broadcast
+    join at runtime (spark.sql.adaptive.autoBroadcastJoinThreshold)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "transitlake.plans.catalog_queries",
     "transitlake.plans.report_queries",
+    "transitlake.plans.sampling_queries",
 ]
 
 
