@@ -8,6 +8,7 @@ MODULES = [
     "transitlake.plans.catalog_queries",
     "transitlake.plans.report_queries",
     "transitlake.plans.sampling_queries",
+    "transitlake.plans.stats_queries",
 ]
 
 
