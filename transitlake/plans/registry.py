@@ -9,6 +9,7 @@ MODULES = [
     "transitlake.plans.report_queries",
     "transitlake.plans.sampling_queries",
     "transitlake.plans.stats_queries",
+    "transitlake.plans.fitted_queries",
 ]
 
 
