@@ -10,6 +10,7 @@ MODULES = [
     "transitlake.plans.sampling_queries",
     "transitlake.plans.stats_queries",
     "transitlake.plans.fitted_queries",
+    "transitlake.plans.metrics_queries",
 ]
 
 
