@@ -11,6 +11,7 @@ MODULES = [
     "transitlake.plans.stats_queries",
     "transitlake.plans.fitted_queries",
     "transitlake.plans.metrics_queries",
+    "transitlake.plans.validate_queries",
 ]
 
 
