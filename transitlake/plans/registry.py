@@ -12,6 +12,7 @@ MODULES = [
     "transitlake.plans.fitted_queries",
     "transitlake.plans.metrics_queries",
     "transitlake.plans.validate_queries",
+    "transitlake.plans.model_queries",
 ]
 
 
