@@ -36,7 +36,9 @@ def score_stream(model: ClassifierModel, unified_stream: DataFrame) -> DataFrame
 
 def daily_counts_stream(predictions_stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Counts per (1-day window, prediction) with a watermark on created_at."""
-    return (predictions_stream.withWatermark("created_at", lateness)
+    # event time must be a zoned timestamp; parquet without zone reads as NTZ
+    events = predictions_stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return (events.withWatermark("created_at", lateness)
             .groupBy(F.window("created_at", "1 day"), "prediction")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(F.col("window.start").alias("day_start"), "prediction", "count"))
