@@ -75,13 +75,35 @@ class MedianImputerModel:
         return df.fillna(fill) if fill else df
 
 
-def fit_median_imputer(df: DataFrame, cols, exact: bool = True) -> MedianImputerModel:
-    """Exact medians (linear interpolation) in one aggregate pass; set
-    ``exact=False`` for percentile_approx on very high-cardinality columns."""
+# An exact percentile keeps a value -> count map of the whole group in the
+# final aggregation task; beyond this many distinct values the bounded,
+# mergeable percentile_approx sketch is used instead.
+EXACT_DISTINCT_LIMIT = 5_000_000
+APPROX_ACCURACY = 100_000
+
+
+def exact_columns(df: DataFrame, cols, group: str | None = None) -> dict:
+    """col -> True when an exact percentile is safe (few distinct values,
+    per group if ``group``), from one HyperLogLog pass."""
+    if not cols:
+        return {}
+    aggs = [F.approx_count_distinct(c).alias(c) for c in cols]
+    if group is None:
+        row = df.agg(*aggs).first()
+        return {c: (row[c] or 0) <= EXACT_DISTINCT_LIMIT for c in cols}
+    rows = df.groupBy(group).agg(*aggs).collect()
+    return {c: max([(r[c] or 0) for r in rows] or [0]) <= EXACT_DISTINCT_LIMIT for c in cols}
+
+
+def fit_median_imputer(df: DataFrame, cols, exact: bool | None = True) -> MedianImputerModel:
+    """Medians (linear interpolation) in one aggregate pass.  ``exact=None``
+    decides per column from its distinct count (exact_columns)."""
     have = [c for c in cols if c in df.columns]
     if not have:
         return MedianImputerModel({})
-    agg = [(F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)).alias(c) for c in have]
+    ok = exact_columns(df, have) if exact is None else {c: exact for c in have}
+    agg = [(F.median(c) if ok[c] else F.percentile_approx(c, 0.5, APPROX_ACCURACY)).alias(c)
+           for c in have]
     row = df.agg(*agg).first()
     return MedianImputerModel({c: row[c] for c in have})
 
@@ -257,20 +279,28 @@ class QuantileNormalModel:
 
 def fit_quantile_normal(df: DataFrame, features=QUANTILE_NORMAL_FEATURES, n_quantiles: int = 1000,
                         group: str = MISSION) -> QuantileNormalModel:
-    """Per survey and feature: the exact quantile grid at n = min(1000,
-    rows of the survey) evenly spaced probabilities.  One grouped
-    aggregate; the result (surveys x features x n doubles) is the model."""
+    """Per survey and feature: the quantile grid at n = min(1000, rows of
+    the survey) evenly spaced probabilities, in one grouped aggregate; the
+    result (surveys x features x n doubles) is the model.  Exact
+    percentiles while a survey's distinct values are bounded
+    (EXACT_DISTINCT_LIMIT), the percentile_approx sketch beyond - the
+    reference itself fits on a 10,000-row subsample."""
     have = [f for f in features if f in df.columns]
     if not have:
         return QuantileNormalModel({}, group)
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"),
+                                  *[F.approx_count_distinct(f).alias(f) for f in have]).collect()
+    counts = {r[group]: r["_n"] for r in stats}
+    exact = {f: max(r[f] or 0 for r in stats) <= EXACT_DISTINCT_LIMIT for f in have}
     grids: dict = {f: {} for f in have}
     sizes = sorted({max(1, min(n_quantiles, n)) for n in counts.values()})
     for n in sizes:
         probs = [float(p) for p in np.linspace(0, 1, n)] if n > 1 else [0.5]
         keys = [k for k, c in counts.items() if max(1, min(n_quantiles, c)) == n]
         rows = (df.where(F.col(group).isin(keys))
-                  .groupBy(group).agg(*[F.percentile(f, probs).alias(f) for f in have]).collect())
+                  .groupBy(group).agg(*[(F.percentile(f, probs) if exact[f] else
+                                         F.percentile_approx(f, probs, APPROX_ACCURACY)).alias(f)
+                                        for f in have]).collect())
         for r in rows:
             for f in have:
                 if r[f] is not None:
