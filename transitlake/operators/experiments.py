@@ -1,7 +1,8 @@
 """Cross-survey experiments.
 
 Each experiment is a handful of model fits on filters of one written
-training table; every evaluation is an aggregate (one row), and the
+training table (every split / sample is written once before the fits,
+so MLlib's passes re-read files instead of recomputing the ranking); every evaluation is an aggregate (one row), and the
 result table is the union of those rows - nothing is collected to the
 driver except MLlib's own model state.
 """
@@ -18,11 +19,12 @@ from transitlake.operators.metrics import summary_metrics
 from transitlake.operators.sampling import (capped_sample, ratio_sample, stratified_split,
                                             survey_mix_split)
 from transitlake.schema import MISSION
+from transitlake.sources.materialize import materialize
 
 SURVEYS = ("KEPLER", "TESS")
 
 
-def _fit(train: DataFrame, feats, label, num_trees=30, max_depth=8):
+def _fit(train: DataFrame, feats, label, num_trees=20, max_depth=6):
     return MD.fit_forest(train, feats, label, num_trees=num_trees, max_depth=max_depth)
 
 
@@ -36,7 +38,7 @@ def survey_transfer(df: DataFrame, feats, label: str, **fit_kw) -> DataFrame:
     """Per-survey baselines (K13) and cross-survey transfer both ways (K15),
     with the transfer gap (E24): within-survey accuracy minus accuracy on
     the other survey."""
-    sp = stratified_split(df.drop("is_train"), target=label, by=[MISSION])
+    sp = materialize(stratified_split(df.drop("is_train"), target=label, by=[MISSION]), "exp_split")
     rows = []
     for s in SURVEYS:
         other = [o for o in SURVEYS if o != s][0]
@@ -59,7 +61,7 @@ def mixed_training(df: DataFrame, feats, label: str, base_survey: str = "KEPLER"
     """Mixed training (K14 with base KEPLER, K17 with base TESS): train on
     80% of the base survey plus a quarter as many rows of the other,
     evaluate on the held-out rows of each survey."""
-    sp = survey_mix_split(df.drop("is_train"), base_survey=base_survey)
+    sp = materialize(survey_mix_split(df.drop("is_train"), base_survey=base_survey), "exp_mix")
     m = _fit(sp.where("is_train"), feats, label, **fit_kw)
     rows = [_eval_row(m, sp.where((F.col(MISSION) == s) & ~F.col("is_train")), label,
                       experiment=f"mixed_{base_survey.lower()}", eval_survey=s) for s in SURVEYS]
@@ -71,10 +73,11 @@ def refit_on_balanced(df: DataFrame, feats, label: str, base_survey: str = "TESS
     """Option B (K18): a base model on one survey, then a fresh model on a
     balanced (<= cap per class) subset of the other, split 70/30."""
     base = df.where(F.col(MISSION) == base_survey).drop("is_train")
-    bsp = stratified_split(base, target=label)
+    bsp = materialize(stratified_split(base, target=label), "exp_base")
     m0 = _fit(bsp.where("is_train"), feats, label, **fit_kw)
-    bal = capped_sample(df.where(F.col(MISSION) == target_survey).drop("is_train"), [label], cap)
-    tsp = stratified_split(bal, target=label, test_size=0.3)
+    bal = materialize(capped_sample(df.where(F.col(MISSION) == target_survey).drop("is_train"),
+                                    [label], cap), "exp_balanced")
+    tsp = materialize(stratified_split(bal, target=label, test_size=0.3), "exp_refit")
     m1 = _fit(tsp.where("is_train"), feats, label, **fit_kw)
     return _eval_row(m0, bsp.where(~F.col("is_train")), label, experiment="base",
                      eval_survey=base_survey).unionByName(
@@ -89,8 +92,8 @@ def ratio_experiments(df: DataFrame, feats, label: str, ratios=(0.9, 0.8, 0.7, 0
     rows, their mean F1 and gap; ``is_best`` marks the best mean F1 (E25)."""
     rows = []
     for r in ratios:
-        smp = ratio_sample(df.drop("is_train"), tess_ratio=r, total=total)
-        sp = stratified_split(smp, target=label, by=[MISSION])
+        smp = materialize(ratio_sample(df.drop("is_train"), tess_ratio=r, total=total), "exp_ratio")
+        sp = materialize(stratified_split(smp, target=label, by=[MISSION]), "exp_ratio_split")
         m = _fit(sp.where("is_train"), feats, label, **fit_kw)
         evals = {s: summary_metrics(m.transform(sp.where((F.col(MISSION) == s) & ~F.col("is_train"))),
                                     label, "prediction", m.classes)

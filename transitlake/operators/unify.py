@@ -92,3 +92,14 @@ def merge_report(unified: DataFrame, koi_cols: int, toi_cols: int) -> DataFrame:
         F.lit(len(unified.columns)).alias("merged_cols"),
         F.lit(len(merged)).alias("unified_columns_created"),
     )
+
+
+def unify_by_mapping(a: DataFrame, b: DataFrame, mapping: list[tuple[str, str, str]],
+                     tag_a: str, tag_b: str, tag_col: str = "source") -> DataFrame:
+    """General two-source union (B1, D1) for any pair of tables with
+    parallel columns: ``mapping`` holds (name in a, name in b, unified
+    name).  Only mapped columns are projected, so the scans read nothing
+    else; numeric types widen in the union (int + double -> double)."""
+    left = a.select(*[F.col(x).alias(u) for x, _, u in mapping], F.lit(tag_a).alias(tag_col))
+    right = b.select(*[F.col(y).alias(u) for _, y, u in mapping], F.lit(tag_b).alias(tag_col))
+    return left.unionByName(right, allowMissingColumns=True)

@@ -13,6 +13,7 @@ MODULES = [
     "transitlake.plans.metrics_queries",
     "transitlake.plans.validate_queries",
     "transitlake.plans.model_queries",
+    "transitlake.plans.extra_queries",
 ]
 
 
