@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_MID
 
 
-def test_mlp_embeddings_beats_majority(spark):
+def test_mlp_embeddings_probabilities_and_learnability(spark):
+    """The driver's embedding labels are independent of the vectors
+    (nearest-centroid accuracy is at chance), so learnability is checked
+    on a target that is a function of the embedding: which of the first
+    three coordinates is largest."""
     from transitlake.operators import models as MD
     from transitlake.operators.sampling import stratified_split
     from transitlake.plans.model_queries import embeddings_frame
     e = embeddings_frame(spark, SF_MID)
-    sp = stratified_split(e, target="label").cache()
-    classes = [str(i) for i in range(10)]
-    m = MD.fit_mlp(sp.where("is_train"), [f"e_{i}" for i in range(64)], "label", classes=classes,
-                   hidden=(32,), max_iter=100)
+    learnable = F.when((F.col("e_0") >= F.col("e_1")) & (F.col("e_0") >= F.col("e_2")), "a") \
+        .when(F.col("e_1") >= F.col("e_2"), "b").otherwise("c")
+    e = e.withColumn("target", learnable)
+    sp = stratified_split(e, target="target").cache()
+    feats = [f"e_{i}" for i in range(64)]
+    m = MD.fit_mlp(sp.where("is_train"), feats, "target", classes=["a", "b", "c"],
+                   hidden=(32,), max_iter=200)
     scored = m.transform(sp.where(~F.col("is_train"))).cache()
     sums = scored.select(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b).alias("s"))
     assert sums.where(F.abs(F.col("s") - 1) > 1e-6).count() == 0
-    acc = scored.where(F.col("prediction") == F.col("label")).count() / scored.count()
-    majority = sp.groupBy("label").count().agg(F.max("count")).first()[0] / sp.count()
-    assert acc > majority
+    acc = scored.where(F.col("prediction") == F.col("target")).count() / scored.count()
+    majority = sp.groupBy("target").count().agg(F.max("count")).first()[0] / sp.count()
+    assert acc > majority + 0.1
 
 
 def test_forest_save_load_and_score(spark):
