@@ -25,29 +25,28 @@ def quality_report(df: DataFrame, target: str = TARGET) -> DataFrame:
     plan_rows.append(("missing_recommended_count", None, float(missing_rec), missing_rec == 0))
     plan = spark.createDataFrame(plan_rows, "check_name string, column_name string, value double, passed boolean")
 
-    aggs = [F.count(F.lit(1)).cast("double").alias("rows")]
-    has_target = target in cols
-    if has_target:
+    # every data check is one struct in ONE aggregate pass; the long form
+    # comes from exploding that single row (no per-check re-aggregation)
+    checks = [F.struct(F.lit("row_count").alias("check_name"),
+                       F.lit(None).cast("string").alias("column_name"),
+                       F.count(F.lit(1)).cast("double").alias("value"),
+                       (F.count(F.lit(1)) > 0).alias("passed"))]
+    if target in cols:
         t = F.col(target)
-        aggs.append(F.count(F.when(t.isNotNull() & ~t.isin(*CLASSES), 1)).cast("double").alias("bad_target"))
-        aggs.append(F.count(F.when(t.isNull(), 1)).cast("double").alias("null_target"))
-    present_rec = [c for c in RECOMMENDED if c in cols]
-    aggs += [F.avg(F.col(c).isNull().cast("double")).alias(c) for c in present_rec]
-    row = df.agg(*aggs)
-    parts = [row.select(F.lit("row_count").alias("check_name"), F.lit(None).cast("string").alias("column_name"),
-                        F.col("rows").alias("value"), (F.col("rows") > 0).alias("passed"))]
-    if has_target:
-        parts.append(row.select(F.lit("invalid_target_values").alias("check_name"), F.lit(target).alias("column_name"),
-                                F.col("bad_target").alias("value"), (F.col("bad_target") == 0).alias("passed")))
-        parts.append(row.select(F.lit("target_nulls").alias("check_name"), F.lit(target).alias("column_name"),
-                                F.col("null_target").alias("value"), (F.col("null_target") == 0).alias("passed")))
-    for c in present_rec:
-        parts.append(row.select(F.lit("null_share").alias("check_name"), F.lit(c).alias("column_name"),
-                                F.col(c).alias("value"), (F.col(c) <= SPARSE_LIMIT).alias("passed")))
-    out = plan
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        bad = F.count(F.when(t.isNotNull() & ~t.isin(*CLASSES), 1))
+        nulls = F.count(F.when(t.isNull(), 1))
+        checks.append(F.struct(F.lit("invalid_target_values").alias("check_name"),
+                               F.lit(target).alias("column_name"), bad.cast("double").alias("value"),
+                               (bad == 0).alias("passed")))
+        checks.append(F.struct(F.lit("target_nulls").alias("check_name"),
+                               F.lit(target).alias("column_name"), nulls.cast("double").alias("value"),
+                               (nulls == 0).alias("passed")))
+    for c in [c for c in RECOMMENDED if c in cols]:
+        share = F.avg(F.col(c).isNull().cast("double"))
+        checks.append(F.struct(F.lit("null_share").alias("check_name"), F.lit(c).alias("column_name"),
+                               share.alias("value"), (share <= SPARSE_LIMIT).alias("passed")))
+    data = df.agg(F.array(*checks).alias("_c")).select(F.inline("_c"))
+    return plan.unionByName(data)
 
 
 def invalid_target_values(df: DataFrame, target: str = TARGET) -> DataFrame:
