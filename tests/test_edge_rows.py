@@ -165,3 +165,16 @@ def test_quantile_normal_unseen_survey_and_monotone(spark):
     grid = np.arange(100, dtype=float)
     assert quantile_to_normal(np.array([49.5]), grid)[0] == pytest.approx(0.0, abs=1e-12)
     assert _norm_ppf(np.array([0.975]))[0] == pytest.approx(1.959963984540054, rel=1e-12)
+
+
+def test_blocked_running_sums_equal_window(spark):
+    from pyspark.sql import Window
+    from transitlake.operators.stats import blocked_running_sums
+    # 3 groups x 3000 distinct values, uneven weights: every block boundary is crossed
+    df = (spark.range(9000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 9001).cast("double").alias("v"),
+                                   (F.col("id") % 5 + 1).alias("a"), (F.col("id") % 2).alias("b")))
+    got = blocked_running_sums(df, "g", "v", ["a", "b"], blocks=16)
+    w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("g", "v", F.sum("a").over(w).alias("wa"), F.sum("b").over(w).alias("wb"))
+    bad = got.join(want, ["g", "v"]).where((F.col("cum_a") != F.col("wa")) | (F.col("cum_b") != F.col("wb")))
+    assert got.count() == 9000 and bad.count() == 0

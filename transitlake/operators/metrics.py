@@ -110,7 +110,8 @@ def ovr_auc(df: DataFrame, label: str, prob_cols: dict, classes=CLASSES) -> Data
     Rank-sum with ties counted half, computed from counts per distinct
     score: AUC_c = sum_s pos_s * (neg_below_s + neg_at_s / 2) / (P * N).
     Scores are first aggregated per (class, score), so the running sum
-    only sees distinct scores; ``prob_cols`` maps class -> score column.
+    only sees distinct scores, and it runs per value block
+    (stats.blocked_running_sums); ``prob_cols`` maps class -> score column.
     """
     parts = None
     for c in classes:
@@ -119,8 +120,11 @@ def ovr_auc(df: DataFrame, label: str, prob_cols: dict, classes=CLASSES) -> Data
         parts = part if parts is None else parts.unionByName(part)
     by_score = parts.groupBy("cls", "score").agg(
         F.count(F.when(F.col("pos"), 1)).alias("p"), F.count(F.when(~F.col("pos"), 1)).alias("q"))
-    w = Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    cum = by_score.withColumn("q_below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    # exclusive running count of negatives below each distinct score, by
+    # value blocks so a class with ~N distinct scores is not one task
+    from transitlake.operators.stats import blocked_running_sums
+    cum = blocked_running_sums(by_score, "cls", "score", ["q"]).withColumn(
+        "q_below", F.col("cum_q") - F.col("q"))
     per = cum.groupBy("cls").agg(
         F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2.0)).alias("_s"),
         F.sum("p").alias("support"), F.sum("q").alias("negatives"))

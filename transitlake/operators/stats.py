@@ -54,6 +54,29 @@ def shift_moments(df: DataFrame, features: list[str], a: str = "KEPLER", b: str
                     diff.alias("mean_diff_pct"))
 
 
+def blocked_running_sums(agg: DataFrame, part: str, order: str, sums: list[str],
+                         blocks: int = 64) -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` of ``sums`` over ``order`` within
+    each ``part`` group, without one window partition per group: values
+    are cut into ``blocks`` ranges by approximate quantiles, per-block
+    totals give exclusive offsets (tiny table), and the running sum runs
+    per (group, block).  Exact for any boundaries; ``order`` values must
+    be distinct within a group (pre-aggregated input)."""
+    probs = [i / blocks for i in range(1, blocks)]
+    bounds = agg.groupBy(part).agg(F.percentile_approx(order, probs, 1000).alias("_bounds"))
+    blk = (agg.join(bounds, part)
+              .withColumn("_blk", F.size(F.filter("_bounds", lambda x: x < F.col(order))))
+              .drop("_bounds"))
+    totals = blk.groupBy(part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    prior = Window.partitionBy(part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, "_blk", *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0))
+                                            .alias(f"_o_{c}") for c in sums])
+    run = Window.partitionBy(part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = blk.join(offsets, [part, "_blk"])
+    out = out.withColumns({f"cum_{c}": F.sum(c).over(run) + F.col(f"_o_{c}") for c in sums})
+    return out.drop("_blk", *[f"_o_{c}" for c in sums])
+
+
 def ks_statistic(df: DataFrame, features: list[str], a: str = "KEPLER", b: str = "TESS",
                  group: str = MISSION, min_count: int = 10, blocks: int = 64) -> DataFrame:
     """Exact two-sample KS D per feature: feature, n_a, n_b, d_stat."""
@@ -61,25 +84,9 @@ def ks_statistic(df: DataFrame, features: list[str], a: str = "KEPLER", b: str =
     agg = lf.groupBy("feature", "value").agg(
         F.count(F.when(F.col(group) == a, 1)).alias("na"),
         F.count(F.when(F.col(group) == b, 1)).alias("nb"))
-    # block boundaries from approximate quantiles: one small row per feature
-    probs = [i / blocks for i in range(1, blocks)]
-    bounds = agg.groupBy("feature").agg(
-        F.percentile_approx("value", probs, 1000).alias("_bounds"),
-        F.sum("na").alias("_tot_a"), F.sum("nb").alias("_tot_b"))
-    blk = (agg.join(bounds, "feature")
-              .withColumn("_blk", F.size(F.filter("_bounds", lambda x: x < F.col("value"))))
-              .drop("_bounds"))
-    totals = blk.groupBy("feature", "_blk").agg(F.sum("na").alias("_ta"), F.sum("nb").alias("_tb"))
-    prior = Window.partitionBy("feature").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("feature", "_blk",
-                            F.coalesce(F.sum("_ta").over(prior), F.lit(0)).alias("_oa"),
-                            F.coalesce(F.sum("_tb").over(prior), F.lit(0)).alias("_ob"))
-    run = Window.partitionBy("feature", "_blk").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0)
-    cum = (blk.join(offsets, ["feature", "_blk"])
-              .withColumn("_ca", F.sum("na").over(run) + F.col("_oa"))
-              .withColumn("_cb", F.sum("nb").over(run) + F.col("_ob")))
-    gap = F.abs(F.col("_ca") / F.col("_tot_a") - F.col("_cb") / F.col("_tot_b"))
+    tot = agg.groupBy("feature").agg(F.sum("na").alias("_tot_a"), F.sum("nb").alias("_tot_b"))
+    cum = blocked_running_sums(agg, "feature", "value", ["na", "nb"], blocks).join(tot, "feature")
+    gap = F.abs(F.col("cum_na") / F.col("_tot_a") - F.col("cum_nb") / F.col("_tot_b"))
     return (cum.groupBy("feature").agg(F.max(gap).alias("d_stat"),
                                        F.first("_tot_a").alias("n_a"), F.first("_tot_b").alias("n_b"))
                .where((F.col("n_a") >= min_count) & (F.col("n_b") >= min_count))
