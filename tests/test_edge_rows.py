@@ -83,6 +83,42 @@ def test_cell_width_invariance(spark):
     for w in (0.005, 1.0, 360.0):
         assert sorted(tuple(r) for r in dup_pairs(t, cell_width=w).collect()) == base
     assert sorted(tuple(r) for r in dup_pairs(t.repartition(13)).collect()) == base
+    for n in (1, 7, 64):
+        got = dup_pairs(t, strategy="range", partitions=n)
+        assert sorted(tuple(r) for r in got.collect()) == base
+
+
+def _brute_pairs(rows, ra_tol=0.001, dec_tol=0.001, period_tol=0.01):
+    """Global-order scan in plain Python (the specification)."""
+    rank = {"CONFIRMED": 3, "FALSE POSITIVE": 2, "CANDIDATE": 1}
+    pos = sorted((r for r in rows if None not in (r[3], r[4], r[5])), key=lambda r: (r[3], r[4], r[5], r[1], r[0]))
+    out = []
+    for a, b in zip(pos, pos[1:]):
+        if abs(a[3] - b[3]) < ra_tol and abs(a[4] - b[4]) < dec_tol and abs(a[5] - b[5]) < period_tol and a[1] != b[1]:
+            p1, p2 = rank.get(a[2], 0), rank.get(b[2], 0)
+            first = p1 > p2 or (p1 == p2 and (a[1] == "TESS" or b[1] != "TESS"))
+            out.append((a[0], b[0], (a[0] if first else b[0]), (b[0] if first else a[0])))
+    return sorted(out)
+
+
+def test_hot_ra_range_strategy_matches_brute_force(spark):
+    # a third of all rows share one ra value: no cell width can split them,
+    # the range strategy spreads them over partitions by the full key
+    rows = []
+    for i in range(600):
+        mis = "KEPLER" if i % 2 == 0 else "TESS"
+        disp = ("CONFIRMED", "CANDIDATE", "FALSE POSITIVE", None)[i % 4]
+        if i % 3 == 0:
+            rows.append((i, mis, disp, 42.0, 5.0 + (i // 6) * 0.0004, 3.0 + (i % 5) * 0.004))
+        else:
+            rows.append((i, mis, disp, 10.0 + (i * 37 % 600) * 0.0007, 5.0 + (i % 7) * 0.0005, 3.0))
+    want = _brute_pairs(rows)
+    assert len(want) > 20
+    for strategy, n in (("cells", None), ("range", 1), ("range", 5), ("range", 33)):
+        got = dup_pairs(frame(spark, rows), strategy=strategy, partitions=n)
+        assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in got.collect()) == want
+    auto = dup_pairs(frame(spark, rows), max_cell_rows=100)  # fullest cell > 100 rows: range
+    assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in auto.collect()) == want
 
 
 def test_feature_nulls_and_flags(spark):

@@ -16,9 +16,18 @@ last core row of a cell still sees its global successor whenever that
 successor can match (a match needs d ra < ra_tol < cell_width / 2).
 Only pairs whose first row is core are kept, so every adjacency is
 reported exactly once.  Result equals the global-order scan for any
-cell width > 2*ra_tol.  A dense sky region is split by a finer cell
-width (a parameter), never by adding dec to the key, because the order
-is by ra first.
+cell width > 2*ra_tol.
+
+Skew: when one cell holds more than ``max_cell_rows`` rows (a dense sky
+region, or many rows at one identical ra that no cell width can split)
+the ``"range"`` strategy is used instead: rows are range-partitioned on
+the full sort key, which is unique because it ends in row_id, so the
+partitions are balanced whatever the ra distribution.  ``lead`` runs per
+range partition, and the last row of each partition takes the first row
+of the next non-empty partition from a table with one row per partition
+(its size is the partition count, so broadcasting it is bounded).  The
+cell histogram that picks the strategy is a tiny aggregate (at most
+360 / cell_width rows).
 """
 
 from __future__ import annotations
@@ -58,15 +67,55 @@ def positioned(df: DataFrame, ra: str = RA, dec: str = DEC, period: str = PERIOD
     return df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull() & F.col(period).isNotNull())
 
 
+_ORDER = ("ra", "dec", "per", "mis", "rid")
+_ROW = ("rid", "ra", "dec", "per", "mis", "disp")
+
+
+def _adjacent_by_cells(base: DataFrame, ra_tol: float, cell_width: float) -> DataFrame:
+    """Each row with its global successor ``_n`` (cells + halo)."""
+    framed = _halo_frame(base, "ra", ra_tol, cell_width)
+    w = Window.partitionBy("_cell").orderBy(*_ORDER)
+    adj = framed.withColumn("_n", F.lead(F.struct(*_ROW)).over(w))
+    return adj.where(F.col("_core") & F.col("_n").isNotNull()).drop("_cell", "_core")
+
+
+def _adjacent_by_ranges(base: DataFrame, partitions: int) -> DataFrame:
+    """Each row with its global successor ``_n`` (range partitions).
+
+    A range exchange places contiguous key ranges in increasing partition
+    order (also after AQE coalescing, which only merges neighbours), so
+    the successor of a partition's last row is the smallest row of the
+    next non-empty partition."""
+    ranged = base.repartitionByRange(partitions, *_ORDER).withColumn("_p", F.spark_partition_id())
+    local = ranged.withColumn("_n", F.lead(F.struct(*_ROW)).over(
+        Window.partitionBy("_p").orderBy(*_ORDER)))
+    # one row per partition: its smallest key; the same exchange is reused
+    firsts = ranged.groupBy("_p").agg(F.min(F.struct(*_ORDER, "disp")).alias("_f"))
+    following = (firsts.select("_p", F.lead("_f").over(Window.orderBy("_p")).alias("_g"))
+                       .select("_p", F.struct(*[F.col("_g")[c].alias(c) for c in _ROW]).alias("_nf")))
+    out = local.join(F.broadcast(following), "_p", "left")
+    out = out.withColumn("_n", F.when(F.col("_n").isNull() & F.col("_nf.rid").isNotNull(), F.col("_nf"))
+                                 .otherwise(F.col("_n")))
+    return out.where(F.col("_n").isNotNull()).drop("_p", "_nf")
+
+
+def largest_cell(df: DataFrame, cell_width: float = 0.1, ra: str = RA) -> int:
+    """Row count of the fullest ra cell (a histogram of <= 360/cell_width rows)."""
+    cells = df.where(F.col(ra).isNotNull()).groupBy(F.floor(F.col(ra) / cell_width)).count()
+    return cells.agg(F.max("count")).first()[0] or 0
+
+
 def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
               period_tol: float = 0.01, cell_width: float = 0.1,
               ra: str = RA, dec: str = DEC, period: str = PERIOD,
               mission: str = MISSION, disposition: str = TARGET,
-              row_id: str = ROW_ID) -> DataFrame:
+              row_id: str = ROW_ID, strategy: str = "auto",
+              max_cell_rows: int = 5_000_000, partitions: int | None = None) -> DataFrame:
     """Adjacent cross-survey twins with winner and loser.
 
-    Output: row_id_1, row_id_2, mission_1, mission_2, disposition_1,
-    disposition_2, keep_id, drop_id.
+    ``strategy``: "cells", "range", or "auto" (cells unless the fullest
+    cell exceeds ``max_cell_rows``).  Output: row_id_1, row_id_2,
+    mission_1, mission_2, disposition_1, disposition_2, keep_id, drop_id.
     """
     if cell_width <= 2 * ra_tol:
         raise ValueError("cell_width must exceed 2 * ra_tol")
@@ -74,10 +123,15 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
               .select(F.col(row_id).alias("rid"), F.col(ra).alias("ra"), F.col(dec).alias("dec"),
                       F.col(period).alias("per"), F.col(mission).alias("mis"),
                       F.col(disposition).alias("disp")))
-    framed = _halo_frame(base, "ra", ra_tol, cell_width)
-    w = Window.partitionBy("_cell").orderBy("ra", "dec", "per", "mis", "rid")
-    nxt = F.lead(F.struct("rid", "ra", "dec", "per", "mis", "disp")).over(w)
-    adj = framed.withColumn("_n", nxt).where(F.col("_core") & F.col("_n").isNotNull())
+    if strategy == "auto":
+        strategy = "range" if largest_cell(base, cell_width, "ra") > max_cell_rows else "cells"
+    if strategy == "cells":
+        adj = _adjacent_by_cells(base, ra_tol, cell_width)
+    elif strategy == "range":
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        adj = _adjacent_by_ranges(base, n)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     pairs = adj.where(
         (F.abs(F.col("ra") - F.col("_n.ra")) < ra_tol)
         & (F.abs(F.col("dec") - F.col("_n.dec")) < dec_tol)
