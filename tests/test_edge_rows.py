@@ -72,17 +72,17 @@ def test_halo_across_cell_boundary(spark):
     rows = [(1, "KEPLER", "CANDIDATE", 10.0999, 5.0, 3.0), (2, "TESS", "CANDIDATE", 10.1003, 5.0, 3.0)]
     assert survivors(spark, rows) == [2]
     for w in (0.01, 0.1, 1.0, 45.0):
-        assert dup_pairs(frame(spark, rows), cell_width=w).count() == 1
+        assert dup_pairs(frame(spark, rows), cell_width=w, strategy="cells").count() == 1
 
 
 def test_cell_width_invariance(spark):
     from transitlake.plans.catalog_queries import training
     t = training(spark, "/root/testdata/sf0.01")
-    base = sorted(tuple(r) for r in dup_pairs(t).collect())
+    base = sorted(tuple(r) for r in dup_pairs(t, strategy="cells").collect())
     assert len(base) == 292
     for w in (0.005, 1.0, 360.0):
-        assert sorted(tuple(r) for r in dup_pairs(t, cell_width=w).collect()) == base
-    assert sorted(tuple(r) for r in dup_pairs(t.repartition(13)).collect()) == base
+        assert sorted(tuple(r) for r in dup_pairs(t, cell_width=w, strategy="cells").collect()) == base
+    assert sorted(tuple(r) for r in dup_pairs(t.repartition(13), strategy="cells").collect()) == base
     for n in (1, 7, 64):
         got = dup_pairs(t, strategy="range", partitions=n)
         assert sorted(tuple(r) for r in got.collect()) == base
@@ -117,7 +117,7 @@ def test_hot_ra_range_strategy_matches_brute_force(spark):
     for strategy, n in (("cells", None), ("range", 1), ("range", 5), ("range", 33)):
         got = dup_pairs(frame(spark, rows), strategy=strategy, partitions=n)
         assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in got.collect()) == want
-    auto = dup_pairs(frame(spark, rows), max_cell_rows=100)  # fullest cell > 100 rows: range
+    auto = dup_pairs(frame(spark, rows), strategy="auto", max_cell_rows=100)  # fullest cell > 100: range
     assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in auto.collect()) == want
 
 

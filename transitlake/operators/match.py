@@ -18,16 +18,18 @@ Only pairs whose first row is core are kept, so every adjacency is
 reported exactly once.  Result equals the global-order scan for any
 cell width > 2*ra_tol.
 
-Skew: when one cell holds more than ``max_cell_rows`` rows (a dense sky
-region, or many rows at one identical ra that no cell width can split)
-the ``"range"`` strategy is used instead: rows are range-partitioned on
-the full sort key, which is unique because it ends in row_id, so the
-partitions are balanced whatever the ra distribution.  ``lead`` runs per
-range partition, and the last row of each partition takes the first row
-of the next non-empty partition from a table with one row per partition
-(its size is the partition count, so broadcasting it is bounded).  The
-cell histogram that picks the strategy is a tiny aggregate (at most
-360 / cell_width rows).
+Skew: one cell can hold a third of all rows (a dense sky region, or
+many rows at one identical ra that no cell width can split).  The default
+``"range"`` strategy therefore range-partitions on the full sort key,
+which is unique because it ends in row_id, so the partitions are balanced
+whatever the ra distribution.  ``lead`` runs per range partition, and the
+last row of each partition takes the first row of the next non-empty
+partition from a table with one row per partition (its size is the
+partition count, so broadcasting it is bounded).  The range exchange
+samples the already-shuffled upstream stage; it needs no extra pass.
+``"cells"`` (one shuffle, halo rows) is kept for inputs known to be
+spread out; ``"auto"`` picks it from a cell histogram, at the cost of an
+eager job that recomputes the input.
 """
 
 from __future__ import annotations
@@ -109,12 +111,12 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
               period_tol: float = 0.01, cell_width: float = 0.1,
               ra: str = RA, dec: str = DEC, period: str = PERIOD,
               mission: str = MISSION, disposition: str = TARGET,
-              row_id: str = ROW_ID, strategy: str = "auto",
+              row_id: str = ROW_ID, strategy: str = "range",
               max_cell_rows: int = 5_000_000, partitions: int | None = None) -> DataFrame:
     """Adjacent cross-survey twins with winner and loser.
 
-    ``strategy``: "cells", "range", or "auto" (cells unless the fullest
-    cell exceeds ``max_cell_rows``).  Output: row_id_1, row_id_2,
+    ``strategy``: "range" (default, skew-proof), "cells", or "auto"
+    (cells unless the fullest cell exceeds ``max_cell_rows``).  Output: row_id_1, row_id_2,
     mission_1, mission_2, disposition_1, disposition_2, keep_id, drop_id.
     """
     if cell_width <= 2 * ra_tol:
