@@ -159,3 +159,19 @@ def top_k(df: DataFrame, col: str, k: int, tie: str = "row_id", ascending: bool
 def null_count(df: DataFrame, col: str) -> Column:
     """Count of NULLs in a column."""
     return F.count(F.when(F.col(col).isNull(), 1))
+
+
+def preprocessing_comparison(original: DataFrame, processed: DataFrame) -> DataFrame:
+    """Shape before and after preprocessing (B28): stage, n_rows, n_columns,
+    column_list.  ``column_list`` is the original columns in schema order,
+    and for the processed stage the added columns, sorted (empty when none
+    were added).  Column sets are schema metadata (no job); each row count
+    is one aggregate over its frame."""
+    added = sorted(set(processed.columns) - set(original.columns))
+
+    def stage(df, name, names):
+        return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("stage"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"),
+            F.lit(",".join(names)).alias("column_list"))
+
+    return stage(original, "original", original.columns).unionByName(stage(processed, "processed", added))
