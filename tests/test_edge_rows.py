@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +216,19 @@ def test_blocked_running_sums_equal_window(spark):
     want = df.select("g", "v", F.sum("a").over(w).alias("wa"), F.sum("b").over(w).alias("wb"))
     bad = got.join(want, ["g", "v"]).where((F.col("cum_a") != F.col("wa")) | (F.col("cum_b") != F.col("wb")))
     assert got.count() == 9000 and bad.count() == 0
+
+
+def test_quantile_grids_equal_spark_percentile(spark):
+    from transitlake.operators.fitted import quantile_grids
+    rows = [("A", float(i % 17) if i % 5 else None, float(i) * 0.37 if i < 250 else 3.0) for i in range(400)]
+    rows += [("B", 1.5, None), ("C", None, 2.0), ("C", None, 2.0), ("C", None, 7.0)]
+    df = spark.createDataFrame(rows, "mission string, x double, y double")
+    for nq in (1000, 7, 2):
+        got = {(r.mission, r.feature): list(r.grid) for r in quantile_grids(df, ["x", "y"], n_quantiles=nq).collect()}
+        for g, cnt in {"A": 400, "B": 1, "C": 3}.items():
+            m = max(1, min(nq, cnt))
+            probs = [float(p) for p in np.linspace(0, 1, m)] if m > 1 else [0.5]
+            want = df.where(F.col("mission") == g).agg(F.percentile("x", probs).alias("x"),
+                                                        F.percentile("y", probs).alias("y")).first()
+            for f in ("x", "y"):
+                assert got.get((g, f)) == want[f], (nq, g, f)

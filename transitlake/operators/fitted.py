@@ -277,34 +277,83 @@ class QuantileNormalModel:
         return df.withColumns(cols) if cols else df
 
 
+def quantile_grids(df: DataFrame, features, group: str = MISSION,
+                   n_quantiles: int = 1000) -> DataFrame:
+    """Exact per-(group, feature) quantile grids as one distributed plan.
+
+    For a group with R rows the grid has m = min(n_quantiles, R) points at
+    the probabilities of ``numpy.linspace(0, 1, m)`` (0.5 when m = 1), each
+    the linearly interpolated percentile of the feature's non-null values,
+    bit for bit as Spark's ``percentile`` computes it.  ``percentile``
+    itself rebuilds its cumulative-count array for every probability, which
+    is O(distinct values x m) inside one task per group; here the values
+    are pre-aggregated to (group, feature, value, count), running counts
+    come from per-value-block windows (stats.blocked_running_sums), and
+    each distinct value emits only the grid points whose lower or upper
+    rank falls on it (about 3m rows per group and feature in total).
+
+    Output: group, feature, grid (array of m doubles in probability order).
+    """
+    from transitlake.operators.stats import blocked_running_sums
+    feats = list(features)
+    src = df.where(F.col(group).isNotNull())
+    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in feats)
+    long = src.select(F.col(group).alias("_grp"),
+                      F.expr(f"stack({len(feats)}, {stack}) AS (_feat, value)"))
+    vals = (long.where(F.col("value").isNotNull())
+                .groupBy("_grp", "_feat", "value").agg(F.count(F.lit(1)).alias("c"))
+                .withColumn("_part", F.struct("_grp", "_feat")))
+    # one row per (group, feature): non-null count n, grid size m
+    rows = src.groupBy(F.col(group).alias("_grp")).agg(F.count(F.lit(1)).alias("_rows"))
+    info = (vals.groupBy("_grp", "_feat").agg(F.sum("c").alias("_n"))
+                .join(rows, "_grp")
+                .withColumn("_m", F.least(F.lit(n_quantiles).cast("long"), F.col("_rows"))))
+    cum = blocked_running_sums(vals, "_part", "value", ["c"]).join(info, ["_grp", "_feat"])
+    lo, hi = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1          # 0-based ranks of this value
+    m, n = F.col("_m"), F.col("_n")
+    scale = (m - 1).cast("double") / (n - 1).cast("double")
+    k_first = F.when(m == 1, F.lit(0)).when(n == 1, F.lit(0)).otherwise(
+        F.greatest(F.lit(0), F.ceil((lo - 1).cast("double") * scale)))
+    k_last = F.when(m == 1, F.lit(0)).when(n == 1, m - 1).otherwise(
+        F.least(m - 1, F.floor((hi + 1).cast("double") * scale)))
+    cand = (cum.where(k_first <= k_last)
+               .select("_grp", "_feat", "value", "_m", "_n",
+                       lo.alias("_lo"), hi.alias("_hi"),
+                       F.explode(F.sequence(k_first.cast("long"), k_last.cast("long"))).alias("k")))
+    # the probability and rank exactly as numpy.linspace and percentile form them
+    p = (F.when(F.col("_m") == 1, F.lit(0.5))
+          .when(F.col("k") == F.col("_m") - 1, F.lit(1.0))
+          .otherwise(F.col("k").cast("double") * (F.lit(1.0) / (F.col("_m") - 1).cast("double"))))
+    h = (F.col("_n") - 1).cast("double") * p
+    cand = cand.withColumns({"_h": h, "_l": F.floor(h), "_u": F.ceil(h)})
+    is_l = (F.col("_l") >= F.col("_lo")) & (F.col("_l") <= F.col("_hi"))
+    is_u = (F.col("_u") >= F.col("_lo")) & (F.col("_u") <= F.col("_hi"))
+    pts = (cand.where(is_l | is_u)
+               .groupBy("_grp", "_feat", "k")
+               .agg(F.max(F.when(is_l, F.col("value"))).alias("_xl"),
+                    F.max(F.when(is_u, F.col("value"))).alias("_xu"),
+                    F.first("_h").alias("_h"), F.first("_l").alias("_l"), F.first("_u").alias("_u")))
+    v = (F.when((F.col("_u") == F.col("_l")) | (F.col("_xl") == F.col("_xu")), F.col("_xl"))
+          .otherwise((F.col("_u") - F.col("_h")) * F.col("_xl") + (F.col("_h") - F.col("_l")) * F.col("_xu")))
+    grid = (pts.groupBy("_grp", "_feat")
+               .agg(F.sort_array(F.collect_list(F.struct("k", v.alias("v")))).alias("_g")))
+    return grid.select(F.col("_grp").alias(group), F.col("_feat").alias("feature"),
+                       F.transform("_g", lambda e: e["v"]).alias("grid"))
+
+
 def fit_quantile_normal(df: DataFrame, features=QUANTILE_NORMAL_FEATURES, n_quantiles: int = 1000,
                         group: str = MISSION) -> QuantileNormalModel:
-    """Per survey and feature: the quantile grid at n = min(1000, rows of
-    the survey) evenly spaced probabilities, in one grouped aggregate; the
-    result (surveys x features x n doubles) is the model.  Exact
-    percentiles while a survey's distinct values are bounded
-    (EXACT_DISTINCT_LIMIT), the percentile_approx sketch beyond - the
-    reference itself fits on a 10,000-row subsample."""
+    """Per survey and feature: the exact quantile grid at n = min(1000, rows
+    of the survey) evenly spaced probabilities (quantile_grids, one
+    distributed plan).  The collected result (surveys x features x n
+    doubles) is the model.  Fits on all rows - the reference itself fits
+    on a 10,000-row subsample."""
     have = [f for f in features if f in df.columns]
     if not have:
         return QuantileNormalModel({}, group)
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"),
-                                  *[F.approx_count_distinct(f).alias(f) for f in have]).collect()
-    counts = {r[group]: r["_n"] for r in stats}
-    exact = {f: max(r[f] or 0 for r in stats) <= EXACT_DISTINCT_LIMIT for f in have}
     grids: dict = {f: {} for f in have}
-    sizes = sorted({max(1, min(n_quantiles, n)) for n in counts.values()})
-    for n in sizes:
-        probs = [float(p) for p in np.linspace(0, 1, n)] if n > 1 else [0.5]
-        keys = [k for k, c in counts.items() if max(1, min(n_quantiles, c)) == n]
-        rows = (df.where(F.col(group).isin(keys))
-                  .groupBy(group).agg(*[(F.percentile(f, probs) if exact[f] else
-                                         F.percentile_approx(f, probs, APPROX_ACCURACY)).alias(f)
-                                        for f in have]).collect())
-        for r in rows:
-            for f in have:
-                if r[f] is not None:
-                    grids[f][r[group]] = r[f]
+    for r in quantile_grids(df, have, group, n_quantiles).collect():
+        grids[r["feature"]][r[group]] = list(r["grid"])
     return QuantileNormalModel(grids, group)
 
 
