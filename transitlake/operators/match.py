@@ -150,20 +150,24 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
     )
 
 
-def remove_cross_mission_duplicates(df: DataFrame, row_id: str = ROW_ID,
-                                    required=(RA, DEC, PERIOD, MISSION, TARGET),
+def remove_cross_mission_duplicates(df: DataFrame, row_id: str = ROW_ID, required=None,
                                     **kw) -> DataFrame:
     """Drop rows without position/period, then every loser of any pair.
 
+    Column names default to the catalog's and follow ``kw`` (ra, dec,
+    period, mission, disposition), so any table can be deduplicated.
     Schema-tolerant: if a required column is missing (e.g. an inference
     frame without a target) the frame is returned unchanged.  The losers
     are removed with a left-anti join on row id; AQE turns it into a
     broadcast join at runtime when the loser set is small, and keeps the
     sort-merge join when it is not.
     """
+    ra, dec, period = kw.get("ra", RA), kw.get("dec", DEC), kw.get("period", PERIOD)
+    if required is None:
+        required = (ra, dec, period, kw.get("mission", MISSION), kw.get("disposition", TARGET))
     if not all(c in df.columns for c in required):
         return df
-    kept = positioned(df)
+    kept = positioned(df, ra, dec, period)
     # dup_pairs applies the same filter, so both branches share one
     # subtree and Spark reuses its exchange instead of computing it twice.
     losers = dup_pairs(kept, row_id=row_id, **kw).select(F.col("drop_id").alias(row_id)).distinct()

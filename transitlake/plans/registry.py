@@ -14,6 +14,7 @@ MODULES = [
     "transitlake.plans.validate_queries",
     "transitlake.plans.model_queries",
     "transitlake.plans.extra_queries",
+    "transitlake.plans.match_queries",
 ]
 
 
