@@ -206,7 +206,61 @@ SELECT '{c}' AS column_name, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 E
 FROM candidates""" for c in NULL_SHARE_COLS))
 
 
+# --- the same reports on orders (a second, larger input) -------------------
+
+def _orders(spark, sf_dir):
+    from transitlake.sources.tables import read_table
+    return read_table(spark, sf_dir, "orders")
+
+
+def q_orders_priority_shares(spark, sf_dir):
+    return R.value_counts(_orders(spark, sf_dir), "o_orderpriority")
+
+
+SQL_ORDERS_PRIORITY_SHARES = """
+SELECT o_orderpriority, count(*) AS count,
+  round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS share_pct
+FROM orders GROUP BY o_orderpriority"""
+
+
+def q_orders_daily_counts(spark, sf_dir):
+    return R.counts_by_day(_orders(spark, sf_dir), ts="o_orderdate", col="o_orderstatus")
+
+
+SQL_ORDERS_DAILY_COUNTS = """
+SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus, count(*) AS count
+FROM orders GROUP BY 1, 2"""
+
+
+def q_orders_price_histogram(spark, sf_dir):
+    return round_doubles(R.histogram(_orders(spark, sf_dir), "o_totalprice", max_bins=20))
+
+
+# bin width: (max - min) / 20 rounded up on the 1-2-5 ladder
+SQL_ORDERS_PRICE_HISTOGRAM = """
+WITH r AS (SELECT (max(o_totalprice) - min(o_totalprice)) / 20 AS raw FROM orders),
+m AS (SELECT raw, power(10, floor(log10(raw))) AS mag FROM r),
+s AS (SELECT CASE WHEN mag >= raw THEN mag WHEN 2 * mag >= raw THEN 2 * mag
+                  WHEN 5 * mag >= raw THEN 5 * mag ELSE 10 * mag END AS step FROM m)
+SELECT round(CAST(floor(o_totalprice / step) * step AS DOUBLE), 6) AS bin_start, count(*) AS count,
+  round(CAST(floor(o_totalprice / step) * step AS DOUBLE) + step, 6) AS bin_end
+FROM orders, s WHERE o_totalprice IS NOT NULL GROUP BY floor(o_totalprice / step), step"""
+
+
+def q_orders_price_ranges(spark, sf_dir):
+    return round_doubles(R.quantile_ranges(_orders(spark, sf_dir), ["o_totalprice"]))
+
+
+SQL_ORDERS_PRICE_RANGES = """
+SELECT 'o_totalprice' AS feature, round(quantile_cont(o_totalprice, 0.05), 6) AS q_low,
+       round(quantile_cont(o_totalprice, 0.95), 6) AS q_high FROM orders"""
+
+
 QUERIES = {
+    "orders_priority_shares": q_orders_priority_shares,
+    "orders_daily_counts": q_orders_daily_counts,
+    "orders_price_histogram": q_orders_price_histogram,
+    "orders_price_ranges": q_orders_price_ranges,
     "prediction_shares": q_prediction_shares,
     "daily_counts": q_daily_counts,
     "daily_summary": q_daily_summary,
@@ -224,6 +278,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "orders_priority_shares": SQL_ORDERS_PRIORITY_SHARES,
+    "orders_daily_counts": SQL_ORDERS_DAILY_COUNTS,
+    "orders_price_histogram": SQL_ORDERS_PRICE_HISTOGRAM,
+    "orders_price_ranges": SQL_ORDERS_PRICE_RANGES,
     "prediction_shares": SQL_PREDICTION_SHARES,
     "daily_counts": SQL_DAILY_COUNTS,
     "daily_summary": SQL_DAILY_SUMMARY,
