@@ -232,3 +232,19 @@ def test_quantile_grids_equal_spark_percentile(spark):
                                                         F.percentile("y", probs).alias("y")).first()
             for f in ("x", "y"):
                 assert got.get((g, f)) == want[f], (nq, g, f)
+
+
+def test_exact_percentiles_equal_spark_percentile(spark):
+    from transitlake.operators.stats import exact_percentiles
+    rows = [("A" if i % 3 else "B", float(i % 17) if i % 5 else None, float(i) * 0.37 if i < 250 else 3.0, None)
+            for i in range(400)] + [("C", 1.5, None, None), (None, 2.5, 4.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    for by in ([], ["g"]):
+        got = {(tuple(r[b] for b in by), r.feature, r.prob_idx): r.value
+               for r in exact_percentiles(df, ["x", "y", "z"], probs, by).collect()}
+        for r in df.groupBy(*by).agg(*[F.percentile(c, probs).alias(c) for c in ("x", "y", "z")]).collect():
+            key = tuple(r[b] for b in by)
+            for c in ("x", "y", "z"):
+                for i in range(len(probs)):
+                    assert got.get((key, c, i)) == (r[c][i] if r[c] is not None else None), (by, key, c, i)

@@ -75,37 +75,29 @@ class MedianImputerModel:
         return df.fillna(fill) if fill else df
 
 
-# An exact percentile keeps a value -> count map of the whole group in the
-# final aggregation task; beyond this many distinct values the bounded,
-# mergeable percentile_approx sketch is used instead.
-EXACT_DISTINCT_LIMIT = 5_000_000
+# accuracy of the percentile_approx sketch where a caller opts into it
 APPROX_ACCURACY = 100_000
 
 
-def exact_columns(df: DataFrame, cols, group: str | None = None) -> dict:
-    """col -> True when an exact percentile is safe (few distinct values,
-    per group if ``group``), from one HyperLogLog pass."""
-    if not cols:
-        return {}
-    aggs = [F.approx_count_distinct(c).alias(c) for c in cols]
-    if group is None:
-        row = df.agg(*aggs).first()
-        return {c: (row[c] or 0) <= EXACT_DISTINCT_LIMIT for c in cols}
-    rows = df.groupBy(group).agg(*aggs).collect()
-    return {c: max([(r[c] or 0) for r in rows] or [0]) <= EXACT_DISTINCT_LIMIT for c in cols}
-
-
 def fit_median_imputer(df: DataFrame, cols, exact: bool | None = True) -> MedianImputerModel:
-    """Medians (linear interpolation) in one aggregate pass.  ``exact=None``
-    decides per column from its distinct count (exact_columns)."""
+    """Exact medians (linear interpolation) by the distributed exact
+    percentile (stats.exact_percentiles), so no group's values are held in
+    one task.  ``exact=False`` uses the percentile_approx sketch instead."""
     have = [c for c in cols if c in df.columns]
     if not have:
         return MedianImputerModel({})
-    ok = exact_columns(df, have) if exact is None else {c: exact for c in have}
-    agg = [(F.median(c) if ok[c] else F.percentile_approx(c, 0.5, APPROX_ACCURACY)).alias(c)
-           for c in have]
-    row = df.agg(*agg).first()
-    return MedianImputerModel({c: row[c] for c in have})
+    if exact is False:
+        row = df.agg(*[F.percentile_approx(c, 0.5, APPROX_ACCURACY).alias(c) for c in have]).first()
+        return MedianImputerModel({c: row[c] for c in have})
+    return MedianImputerModel(_exact_single(df, have, 0.5))
+
+
+def _exact_single(df: DataFrame, cols, p: float) -> dict:
+    """col -> exact percentile p (None for an all-NULL column); the
+    collected result has one row per column."""
+    from transitlake.operators.stats import exact_percentiles
+    got = {r["feature"]: r["value"] for r in exact_percentiles(df, cols, [p]).collect()}
+    return {c: got.get(c) for c in cols}
 
 
 # --- robust scaling (I3b) --------------------------------------------------
@@ -129,14 +121,15 @@ class RobustScalerModel:
 
 def fit_robust_scaler(df: DataFrame, cols) -> RobustScalerModel:
     """(x - median) / median(|x - median|), 0 when that MAD is 0.  Two
-    aggregate passes (the MAD needs the median)."""
+    distributed exact-median passes (the MAD needs the median)."""
     have = [c for c in cols if c in df.columns]
     if not have:
         return RobustScalerModel({})
-    meds = df.agg(*[F.median(c).alias(c) for c in have]).first()
-    mads = df.agg(*[F.median(F.abs(F.col(c) - F.lit(meds[c]))).alias(c)
-                    for c in have if meds[c] is not None]).first()
-    return RobustScalerModel({c: (meds[c], mads[c] if meds[c] is not None else None) for c in have})
+    meds = _exact_single(df, have, 0.5)
+    known = [c for c in have if meds[c] is not None]
+    dev = df.select(*[F.abs(F.col(c) - F.lit(meds[c])).alias(c) for c in known])
+    mads = _exact_single(dev, known, 0.5) if known else {}
+    return RobustScalerModel({c: (meds[c], mads.get(c)) for c in have})
 
 
 # --- log-bin quintiles (I3a) -----------------------------------------------
@@ -177,9 +170,13 @@ def fit_quintile_bins(df: DataFrame, cols, q: int = 5) -> QuintileBinModel:
     have = [c for c in cols if c in df.columns]
     if not have:
         return QuintileBinModel({})
+    from transitlake.operators.stats import exact_percentiles
     probs = [i / q for i in range(q + 1)]
-    row = df.agg(*[F.percentile(signed_log1p(F.col(c)), probs).alias(c) for c in have]).first()
-    return QuintileBinModel({c: sorted(set(row[c])) if row[c] else [] for c in have})
+    y = df.select(*[signed_log1p(F.col(c)).alias(c) for c in have])
+    edges: dict = {c: [] for c in have}
+    for r in exact_percentiles(y, have, probs).collect():  # columns x (q+1) rows
+        edges[r["feature"]].append(r["value"])
+    return QuintileBinModel({c: sorted(set(e)) for c, e in edges.items()})
 
 
 # --- per-survey quantile-to-normal (I2) ------------------------------------

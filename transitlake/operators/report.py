@@ -47,35 +47,65 @@ def headline_counts(df: DataFrame, pred: str = "prediction") -> DataFrame:
                     for c in CLASSES])
 
 
+def attach_percentiles(agg: DataFrame, src: DataFrame, by, specs: dict,
+                       columns=None) -> DataFrame:
+    """Add exact percentiles to ``agg`` (one row per ``by`` group).
+
+    ``specs`` maps an output name to (column, probability).  The values
+    come from stats.exact_percentiles over ``src`` (no group's values are
+    held in one task), are pivoted to one row per group, and are merged
+    into ``agg`` by a union and a per-group ``max`` - no join, so global
+    (``by=()``) stats plan no nested-loop join and NULL group keys stay
+    matched.  ``columns`` fixes the output order."""
+    from transitlake.operators.stats import exact_percentiles
+    by = list(by)
+    cols = sorted({c for c, _ in specs.values()})
+    probs = sorted({float(q) for _, q in specs.values()})
+    idx = {q: i for i, q in enumerate(probs)}
+    ep = exact_percentiles(src, cols, probs, by)
+    piv = ep.groupBy(*by).agg(*[
+        F.max(F.when((F.col("feature") == c) & (F.col("prob_idx") == idx[float(q)]), F.col("value")))
+         .alias(name) for name, (c, q) in specs.items()])
+    merged = agg.unionByName(piv, allowMissingColumns=True)
+    rest = [c for c in agg.columns if c not in by] + list(specs)
+    out = merged.groupBy(*by).agg(*[F.max(c).alias(c) for c in rest])
+    return out.select(*(columns or [*by, *rest]))
+
+
 def confidence_stats(df: DataFrame, conf: str = "confidence", scale: float = 1.0) -> DataFrame:
     """Mean, exact median, count >= 80% and count < 50%.
 
     ``scale`` is the value that means 100% (1 for 0-1 storage, 100 for
     percent storage; quirk Q14)."""
     c = F.col(conf)
-    return df.agg(F.avg(c).alias("mean_confidence"),
-                  F.median(c).alias("median_confidence"),
-                  F.count(F.when(c >= 0.8 * scale, 1)).alias("n_high_confidence"),
-                  F.count(F.when(c < 0.5 * scale, 1)).alias("n_low_confidence"))
+    agg = df.agg(F.avg(c).alias("mean_confidence"),
+                 F.count(F.when(c >= 0.8 * scale, 1)).alias("n_high_confidence"),
+                 F.count(F.when(c < 0.5 * scale, 1)).alias("n_low_confidence"))
+    return attach_percentiles(agg, df, (), {"median_confidence": (conf, 0.5)},
+                              ["mean_confidence", "median_confidence", "n_high_confidence",
+                               "n_low_confidence"])
 
 
 def quantile_ranges(df: DataFrame, cols, lo: float = 0.05, hi: float = 0.95,
                     exact: bool = True) -> DataFrame:
     """Low/high quantile per column with linear interpolation (E8), long form.
 
-    ``exact=False`` switches to ``percentile_approx`` for columns with a
-    huge number of distinct values (exact percentile keeps a value->count
-    map per group)."""
-    aggs = []
-    for c in cols:
-        if exact:
-            q = F.percentile(F.col(c), F.array(F.lit(lo), F.lit(hi)))
-        else:
-            q = F.percentile_approx(F.col(c), F.array(F.lit(lo), F.lit(hi)), 10000)
-        aggs.append(q.alias(c))
-    row = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}`[0], `{c}`[1]" for c in cols)
-    return row.selectExpr(f"stack({len(cols)}, {stack}) as (feature, q_low, q_high)")
+    Exact by default through the distributed exact percentile; ``exact=False``
+    uses the ``percentile_approx`` sketch."""
+    cols = list(cols)
+    if not exact:
+        aggs = [F.percentile_approx(F.col(c), F.array(F.lit(lo), F.lit(hi)), 10000).alias(c)
+                for c in cols]
+        stack = ", ".join(f"'{c}', `{c}`[0], `{c}`[1]" for c in cols)
+        return df.agg(*aggs).selectExpr(f"stack({len(cols)}, {stack}) as (feature, q_low, q_high)")
+    from transitlake.operators.stats import exact_percentiles
+    ep = exact_percentiles(df, cols, [lo, hi])
+    # every requested column gets a row, NULL quantiles for an all-NULL one
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+    vals = ep.select("feature", F.when(F.col("prob_idx") == 0, F.col("value")).alias("q_low"),
+                     F.when(F.col("prob_idx") == 1, F.col("value")).alias("q_high"))
+    return (names.unionByName(vals, allowMissingColumns=True)
+                 .groupBy("feature").agg(F.max("q_low").alias("q_low"), F.max("q_high").alias("q_high")))
 
 
 def dataset_overview(df: DataFrame, target: str) -> DataFrame:
@@ -88,21 +118,34 @@ def dataset_overview(df: DataFrame, target: str) -> DataFrame:
 
 def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column (E10), long
-    form; quartiles are exact (linear interpolation) by default."""
+    form; quartiles are exact (linear interpolation, distributed) by
+    default, the percentile_approx sketch with ``exact=False``."""
+    cols = list(cols)
     aggs = []
     for c in cols:
         x = F.col(c)
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000))
-        aggs.append(F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                             F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
-                             q.alias("q"), F.max(x).cast("double").alias("max")).alias(c))
+        fields = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                  F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
+        if not exact:
+            fields.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
+                                              10000).alias("q"))
+        aggs.append(F.struct(*fields).alias(c))
     row = df.agg(*aggs)
+    q = (lambda c, i: f"`{c}`.q[{i}]") if not exact else (lambda c, i: "CAST(NULL AS DOUBLE)")
     stack = ", ".join(
-        f"'{c}', `{c}`.count, `{c}`.mean, `{c}`.std, `{c}`.min, `{c}`.q[0], `{c}`.q[1], `{c}`.q[2], `{c}`.max"
+        f"'{c}', `{c}`.count, `{c}`.mean, `{c}`.std, `{c}`.min, {q(c, 0)}, {q(c, 1)}, {q(c, 2)}, `{c}`.max"
         for c in cols)
-    return row.selectExpr(
+    out = row.selectExpr(
         f"stack({len(cols)}, {stack}) as (feature, count, mean, std, min, q25, q50, q75, max)")
+    if not exact:
+        return out
+    from transitlake.operators.stats import exact_percentiles
+    ep = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    qs = ep.select("feature", *[F.when(F.col("prob_idx") == i, F.col("value")).alias(n)
+                               for i, n in enumerate(("q25", "q50", "q75"))])
+    order = ["feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    return (out.unionByName(qs, allowMissingColumns=True).groupBy("feature")
+               .agg(*[F.max(c).alias(c) for c in order[1:]]).select(*order))
 
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:

@@ -85,11 +85,12 @@ FROM predictions""")
 
 def q_confidence_by_model(spark, sf_dir):
     p = X.predictions(spark, sf_dir)
-    return round_doubles(p.groupBy("model_name").agg(
+    agg = p.groupBy("model_name").agg(
         F.avg("confidence").alias("mean_confidence"),
-        F.median("confidence").alias("median_confidence"),
         F.count(F.when(F.col("confidence") >= 80, 1)).alias("n_high_confidence"),
-        F.count(F.when(F.col("confidence") < 50, 1)).alias("n_low_confidence")))
+        F.count(F.when(F.col("confidence") < 50, 1)).alias("n_low_confidence"))
+    return round_doubles(R.attach_percentiles(agg, p, ["model_name"],
+                                              {"median_confidence": ("confidence", 0.5)}))
 
 
 SQL_CONFIDENCE_BY_MODEL = O.with_(PREDICTIONS, """
