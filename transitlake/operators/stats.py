@@ -54,6 +54,18 @@ def shift_moments(df: DataFrame, features: list[str], a: str = "KEPLER", b: str
                     diff.alias("mean_diff_pct"))
 
 
+def _count_below(bounds, value, n: int):
+    """Number of entries of the sorted array ``bounds`` (length ``n``) that
+    are below ``value`` - a balanced CASE tree (log2 n comparisons per
+    row, inside whole-stage codegen) instead of a lambda over the array."""
+    def tree(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(bounds[mid] < value, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    return tree(0, n)
+
+
 def blocked_running_sums(agg: DataFrame, part: str, order: str, sums: list[str],
                          blocks: int = 64) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``sums`` over ``order`` within
@@ -65,7 +77,7 @@ def blocked_running_sums(agg: DataFrame, part: str, order: str, sums: list[str],
     probs = [i / blocks for i in range(1, blocks)]
     bounds = agg.groupBy(part).agg(F.percentile_approx(order, probs, 1000).alias("_bounds"))
     blk = (agg.join(bounds, part)
-              .withColumn("_blk", F.size(F.filter("_bounds", lambda x: x < F.col(order))))
+              .withColumn("_blk", _count_below(F.col("_bounds"), F.col(order), len(probs)))
               .drop("_bounds"))
     totals = blk.groupBy(part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     prior = Window.partitionBy(part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
