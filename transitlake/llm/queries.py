@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec"]
+MODULES = ["sentencepiece_codec", "quality_ledger"]
 
 
 def _modules():
