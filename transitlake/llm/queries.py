@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "quality_ledger"]
+MODULES = ["sentencepiece_codec", "quality_ledger", "secret_scan"]
 
 
 def _modules():
