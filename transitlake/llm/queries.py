@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "quality_ledger", "secret_scan"]
+MODULES = ["sentencepiece_codec", "quality_ledger", "secret_scan", "simhash_trie"]
 
 
 def _modules():
