@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "quality_ledger", "toxicity", "secret_scan", "simhash_trie"]
+MODULES = ["sentencepiece_codec", "quality_ledger", "toxicity", "secret_scan", "simhash_trie", "decontamination"]
 
 
 def _modules():
