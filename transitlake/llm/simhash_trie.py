@@ -257,8 +257,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = members.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "first")
     least = found.groupBy("root").agg(F.min("first").alias("least"))
     least = found.join(least, "root").select(F.col("fp").alias("m"), "least")
-    firsts = fps.join(least, F.col("fp") == F.col("m"), "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("least", "first").alias("__first"))
+    # written, so that the last join deals both sides anew and can split a hot fingerprint
+    firsts = write_table(fps.join(least, F.col("fp") == F.col("m"), "left").select(
+        F.col("fp").alias("__fp"), F.coalesce("least", "first").alias("__first")), "firsts")
     return marked.join(firsts, F.col("fp") == F.col("__fp")).select(
         id_col, *(carry or []), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("__first.id").alias("component_id"), (F.col("__row") == F.col("__first.row")).alias("first_of_component"))
