@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 from transitlake.llm.common import documents, write_table
 from transitlake.sources.tables import read_table
 
+# Arrays are exploded with the outer form throughout: for the inner one Spark
+# infers a size filter and pushes it down with the whole array expression in
+# it, which then splits the text once for each of its words.
 WIDTH = 5
 SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -52,20 +55,28 @@ def shingles(words: Column, width: Column | int, make) -> Column:
                                          lambda i: make(F.slice(words, i, width)))).otherwise(F.array())
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def simhash(hashes: Column) -> Column:
     """Bitwise majority of an array of longs: counts two bits at a time in the
     halves of 32 accumulators."""
     halves = F.lit(0x0000000100000001)
-    counts = F.aggregate(hashes, F.array_repeat(F.lit(0).cast("long"), 32), lambda acc, h: F.transform(
-        F.sequence(F.lit(0), F.lit(31)), lambda k: F.get(acc, k) + F.call_function("shiftrightunsigned", h, k).bitwiseAND(halves)))
-    n = F.size(hashes)
+    zeros = F.array_repeat(F.lit(0).cast("long"), 32)
+
+    def add(acc: Column, h: Column) -> Column:
+        return F.transform(acc, lambda x, k: x + F.call_function("shiftrightunsigned", h, k).bitwiseAND(halves))
 
-    def bit(acc: Column, b: Column) -> Column:
-        lane = F.get(counts, F.pmod(b, F.lit(32)))
-        count = F.when(b >= 32, F.shiftrightunsigned(lane, 32)).otherwise(lane.bitwiseAND(F.lit(0xFFFFFFFF)))
-        return acc.bitwiseOR(F.when(2 * count > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    def majority(counts: Column, n: Column) -> Column:
+        def of(lane: Column, k: Column) -> Column:
+            one = lambda count, shift: F.when(2 * count > n, F.call_function(
+                "shiftleft", F.lit(1).cast("long"), shift)).otherwise(F.lit(0).cast("long"))
+            return one(lane.bitwiseAND(F.lit(0xFFFFFFFF)), k).bitwiseOR(one(F.shiftrightunsigned(lane, 32), k + 32))
+        return F.aggregate(F.transform(counts, of), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    return _let(hashes, lambda hs: _let(F.aggregate(hs, zeros, add), lambda counts: majority(counts, F.size(hs))))
 
 
 def _blocks(fp: Column, radius: int) -> Column:
@@ -96,17 +107,17 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     known = write_table(item_table(items, item_id, item_text, min_similarity), "benchmark-items")
     widths = sorted(r.width for r in known.select("width").distinct().collect())  # of 1 to WIDTH
 
-    by_hash = (known.select("item", "width", F.explode("hashes").alias("h")).distinct()
+    by_hash = (known.select("item", "width", F.explode_outer("hashes").alias("h")).distinct()
                .groupBy("width", "h").agg(F.collect_list("item").alias("items")))
     if by_hash.count() <= max_broadcast_rows:
         by_hash = F.broadcast(by_hash)
     per_width = F.array(*[F.struct(F.lit(w).alias("width"), shingles(F.col("words"), w, F.xxhash64).alias("hashes"))
                           for w in widths or [WIDTH]])
     shared = (texts.select("__row", words_of(F.col("__text")).alias("words"))
-              .select("__row", F.explode(per_width).alias("x"))
-              .select("__row", "x.width", F.posexplode("x.hashes").alias("pos", "h"))
+              .select("__row", F.explode_outer(per_width).alias("x"))
+              .select("__row", "x.width", F.posexplode_outer("x.hashes").alias("pos", "h"))
               .join(by_hash, ["width", "h"])
-              .select("__row", "pos", F.explode("items").alias("item")))
+              .select("__row", "pos", F.explode_outer("items").alias("item")))
     sizes = known.select("item", "width", "m", "need")
     starts = (shared.groupBy("__row", "item").agg(F.sort_array(F.collect_list("pos")).alias("at"))
               .join(sizes, "item").where(F.size("at") >= F.col("need"))
@@ -118,21 +129,21 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     windows = (texts.join(starts, "__row").select("__row", "item", "width", "m", "starts", words_of(F.col("__text")).alias("words"))
                .select("__row", "item", "width", F.expr(
                    "transform(starts, s -> named_struct('start', s, 'window', slice(words, s + 1, m + width - 1)))").alias("w"))
-               .select("__row", "item", "width", F.explode("w").alias("w")).select("__row", "item", "width", "w.*"))
+               .select("__row", "item", "width", F.explode_outer("w").alias("w")).select("__row", "item", "width", "w.*"))
     windows = write_table(windows.withColumn("fp", simhash(shingles(F.col("window"), F.col("width"), F.xxhash64))), "leak-fingerprints")
 
     index = known.select("item", simhash(F.col("hashes")).alias("item_fp"), "width").withColumn(
-        "b", F.explode(_blocks(F.col("item_fp"), radius))).select("item", "item_fp", "b.*")
-    near = (windows.select("__row", "item", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b"))
+        "b", F.explode_outer(_blocks(F.col("item_fp"), radius))).select("item", "item_fp", "b.*")
+    near = (windows.select("__row", "item", "start", "fp", F.explode_outer(_blocks(F.col("fp"), radius)).alias("b"))
             .select("__row", "item", "start", "fp", "b.*").join(index, ["item", "block", "bits"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
             .select("__row", "item", "start").distinct())
 
     text_of = lambda words: F.array_join(words, " ")
     counted = (windows.join(near, ["__row", "item", "start"])
-               .select("__row", "item", "start", F.explode(shingles(F.col("window"), F.col("width"), text_of)).alias("s"))
+               .select("__row", "item", "start", F.explode_outer(shingles(F.col("window"), F.col("width"), text_of)).alias("s"))
                .groupBy("__row", "item", "start", "s").agg(F.count(F.lit(1)).alias("n")))
-    item_counts = (known.select("item", F.explode(shingles(F.col("words"), F.col("width"), text_of)).alias("s"))
+    item_counts = (known.select("item", F.explode_outer(shingles(F.col("words"), F.col("width"), text_of)).alias("s"))
                    .groupBy("item", "s").agg(F.count(F.lit(1)).alias("c")))
     verified = (counted.join(item_counts, ["item", "s"], "left")
                 .groupBy("__row", "item", "start")
