@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "quality_ledger", "toxicity", "secret_scan", "simhash_trie", "decontamination"]
+MODULES = ["sentencepiece_codec", "toxicity", "line_dedup", "secret_scan", "quality_ledger", "decontamination", "simhash_trie"]
 
 
 def _modules():

@@ -84,12 +84,12 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                  carry: list[str] | None = None) -> DataFrame:
-    """id, ``carry``, fp (the 64 bits as a long)."""
+    """id, ``carry``, __fp (the 64 bits as a long)."""
 
     def run(texts):
         return [pa.array(majority([shingle_hashes(t, width) for t in texts]).view(np.int64))]
 
-    return map_texts(df, id_col, text_col, "fp long", run, carry)
+    return map_texts(df, id_col, text_col, "__fp long", run, carry)
 
 
 def _blocks(n: int) -> list[int]:
@@ -246,12 +246,12 @@ def links(fps: DataFrame, max_bits: int = 4, split_rows: int = 200_000) -> DataF
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     max_bits: int = 4, carry: list[str] | None = None) -> DataFrame:
-    """id, ``carry``, fingerprint (16 hex digits), component_id (smallest id
-    that links reach), first_of_component (true for one row of each)."""
+    """id, ``carry``, __fingerprint (16 hex digits), __component (smallest id
+    that links reach), __first (true for one row of each component)."""
     marked = write_table(fingerprints(df, id_col, text_col, width, carry)
                          .withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    fps = write_table(marked.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
+    fps = write_table(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("first")), "distinct-fingerprints")
     roots = connected_components(links(fps.select("fp"), max_bits))
     members = roots.union(roots.select("root", "root").distinct())
     found = members.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "first")
@@ -259,14 +259,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = found.join(least, "root").select(F.col("fp").alias("m"), "least")
     # written, so that the last join deals both sides anew and can split a hot fingerprint
     firsts = write_table(fps.join(least, F.col("fp") == F.col("m"), "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("least", "first").alias("__first")), "firsts")
-    return marked.join(firsts, F.col("fp") == F.col("__fp")).select(
-        id_col, *(carry or []), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("__first.id").alias("component_id"), (F.col("__row") == F.col("__first.row")).alias("first_of_component"))
+        F.col("fp").alias("__fp"), F.coalesce("least", "first").alias("__least")), "firsts")
+    return marked.join(firsts, "__fp").select(
+        id_col, *(carry or []), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("__fingerprint"),
+        F.col("__least.id").alias("__component"), (F.col("__row") == F.col("__least.row")).alias("__first"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df``'s rows that stand first (by id) in their component."""
+    carry = [c for c in df.columns if c != id_col]
+    return near_duplicates(df, id_col, text_col, carry=carry, **options).where("__first").select(*df.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("first_of_component")
+    return near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.col("__fingerprint").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
 QUERIES = {"op10_simhash": op10_simhash}

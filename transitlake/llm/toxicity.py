@@ -238,6 +238,12 @@ def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list[str] |
     return model.score(docs, carry=carry)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    rows = scored(spark, docs, sf_dir, carry=[c for c in docs.columns if c != "doc_id"])
+    return rows.where(F.col("__score") < threshold).select(*docs.columns)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, documents(spark, sf_dir), sf_dir)
     return rows.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
