@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "toxicity", "line_dedup", "secret_scan", "quality_ledger", "decontamination", "simhash_trie"]
+MODULES = ["sentencepiece_codec", "toxicity", "line_dedup", "url_filter", "secret_scan", "quality_ledger", "html_mincut",
+           "decontamination", "simhash_trie"]
 
 
 def _modules():
