@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sentencepiece_codec", "toxicity", "line_dedup", "url_filter", "secret_scan", "quality_ledger", "html_mincut",
+MODULES = ["sentencepiece_codec", "substring_dedup", "toxicity", "line_dedup", "url_filter", "secret_scan", "quality_ledger", "html_mincut",
            "decontamination", "simhash_trie"]
 
 
