@@ -88,8 +88,9 @@ def _blocks(fp: Column, radius: int) -> Column:
 
 
 def item_table(items: DataFrame, item_id: str, text_col: str, min_similarity: float) -> DataFrame:
-    """item, words, width, hashes, m (shingles), need (least shared shingles)."""
-    rows = (items.select(F.col(item_id).alias("item"), words_of(F.col(text_col)).alias("words"))
+    """item (a number), item_id, words, width, hashes, m (shingles), need (least
+    shared shingles)."""
+    rows = (items.select(F.col(item_id).alias("item_id"), F.monotonically_increasing_id().alias("item"), words_of(F.col(text_col)).alias("words"))
             .where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(WIDTH))))
     rows = rows.withColumn("hashes", shingles(F.col("words"), F.col("width"), F.xxhash64)).withColumn("m", F.size("hashes"))
     # the union is no smaller than the item; windows cut off by the end of a text count too
@@ -153,7 +154,7 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                 .where(F.col("n_shared") >= F.lit(min_similarity) * F.col("n_total") - 1e-9))
     best = F.struct((F.col("n_shared") / F.col("n_total")).alias("sim"), (-F.col("start")).alias("back"), "n_shared", "n_total")
     found = (verified.groupBy("__row", "item").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n_windows"))
-             .select("__row", F.col("item").alias("item_id"), "best.n_shared", "best.n_total",
+             .join(known.select("item", "item_id"), "item").select("__row", "item_id", "best.n_shared", "best.n_total",
                      (-F.col("best.back")).cast("long").alias("start_word"), "n_windows"))
     return marked, found
 
