@@ -147,7 +147,8 @@ def _without(text: str, runs: list[dict]) -> tuple[str, int, int, int]:
 def _cleaned(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``df``'s columns, __text, __n_lines, __n_removed, __n_runs; a row each."""
     marked = write_table(df.withColumn("__row", F.monotonically_increasing_id()), "line-dedup-input")
-    joined = (marked.join(repeated_runs(marked, id_col, text_col, min_words), "__row", "left").drop("__row")
+    runs = repeated_runs(marked, id_col, text_col, min_words).hint("merge")  # as many rows as changed texts: never broadcast
+    joined = (marked.join(runs, "__row", "left").drop("__row")
               .withColumn("__text", F.col(text_col).cast("string")))
     place = joined.columns.index("__text")
     names = [*joined.columns, "__n_lines", "__n_removed", "__n_runs"]
