@@ -119,8 +119,17 @@ def test_hot_ra_range_strategy_matches_brute_force(spark):
     for strategy, n in (("cells", None), ("range", 1), ("range", 5), ("range", 33)):
         got = dup_pairs(frame(spark, rows), strategy=strategy, partitions=n)
         assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in got.collect()) == want
-    auto = dup_pairs(frame(spark, rows), strategy="auto", max_cell_rows=100)  # fullest cell > 100: range
-    assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in auto.collect()) == want
+    # partial sampling of range bounds and no exchange reuse change nothing
+    for key, value in (("spark.sql.exchange.reuse", "false"),
+                       ("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")):
+        before = spark.conf.get(key)
+        spark.conf.set(key, value)
+        try:
+            for n in (3, 100, 300):
+                got = dup_pairs(frame(spark, rows).repartition(7), partitions=n)
+                assert sorted((r.row_id_1, r.row_id_2, r.keep_id, r.drop_id) for r in got.collect()) == want
+        finally:
+            spark.conf.set(key, before)
 
 
 def test_feature_nulls_and_flags(spark):

@@ -5,17 +5,18 @@ an aggregate has reduced them."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from transitlake.plans.registry import all_queries
 
 # model fits and experiments train while the plan is built; their scans
 # and aggregates are the same operators checked through other queries
 MODEL_QUERIES = {"batch_score", "best_mix", "feature_importance", "mixed_training_tess",
                  "refit_balanced", "survey_transfer", "domain_pca"}
 PYTHON_ALLOWED = {"quantile_normal"}
+QUERIES = all_queries()  # this library's own; optional subpackages test theirs
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                 "PythonMapInArrow", "MapInArrow")
-NAMES = sorted(n for n in E.queries() if not n.startswith("train_") and n not in MODEL_QUERIES)
+NAMES = sorted(n for n in QUERIES if not n.startswith("train_") and n not in MODEL_QUERIES)
 
 
 def _indent(line: str) -> int:
@@ -39,7 +40,7 @@ def single_partition_inputs_aggregated(plan: str) -> bool:
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_shape(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:

@@ -8,36 +8,32 @@ disposition wins (CONFIRMED > FALSE POSITIVE > CANDIDATE > other), a tie
 goes to the TESS row, else to the first row.  The union of all losers is
 removed.
 
-Scale: a global ``orderBy`` window would run in one task.  Rows are cut
-into right-ascension cells of ``cell_width`` degrees and ``lead`` runs
-inside each cell.  A row whose offset in its cell is below 2*ra_tol is
-also emitted, as a non-core "halo" row, into the previous cell, so the
-last core row of a cell still sees its global successor whenever that
-successor can match (a match needs d ra < ra_tol < cell_width / 2).
-Only pairs whose first row is core are kept, so every adjacency is
-reported exactly once.  Result equals the global-order scan for any
-cell width > 2*ra_tol.
-
-Skew: one cell can hold a third of all rows (a dense sky region, or
-many rows at one identical ra that no cell width can split).  The default
-``"range"`` strategy therefore range-partitions on the full sort key,
-which is unique because it ends in row_id, so the partitions are balanced
-whatever the ra distribution.  ``lead`` runs per range partition, and the
-last row of each partition takes the first row of the next non-empty
-partition from a table with one row per partition (its size is the
-partition count, so broadcasting it is bounded).  The range exchange
-samples the already-shuffled upstream stage; it needs no extra pass.
-``"cells"`` (one shuffle, halo rows) is kept for inputs known to be
-spread out; ``"auto"`` picks it from a cell histogram, at the cost of an
-eager job that recomputes the input.
+Scale: a global ``orderBy`` window would run in one task.  The default
+``"range"`` strategy range-partitions on the full sort key, which is unique
+because it ends in row_id, so partitions are balanced whatever the ra
+distribution (a third of all rows at one ra included).  Each sorted
+partition is read once as a stream that compares every row with the one
+before it and gives out the close pairs and, as boundaries, its first and
+last row.  That output is written once to the shared folder; the last row
+of a partition is then compared with the first of the next non-empty one
+from the boundaries, of which there are two per partition.  Pairs and
+boundaries come from one pass over one exchange, so the answer does not
+depend on how often Spark runs or reuses an exchange, and rows are
+shuffled once.
+
+``"cells"`` (right-ascension cells with halo rows, see ``_halo_frame``) is
+kept for inputs known to be spread out.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.schema import DISPOSITION_RANK, MISSION, ROW_ID, TARGET
+from transitlake.sources.materialize import materialize
 
 RA, DEC, PERIOD = "merged_ra", "merged_dec", "merged_koi_period"
 
@@ -81,30 +77,65 @@ def _adjacent_by_cells(base: DataFrame, ra_tol: float, cell_width: float) -> Dat
     return adj.where(F.col("_core") & F.col("_n").isNotNull()).drop("_cell", "_core")
 
 
-def _adjacent_by_ranges(base: DataFrame, partitions: int) -> DataFrame:
-    """Each row with its global successor ``_n`` (range partitions).
-
-    A range exchange places contiguous key ranges in increasing partition
-    order (also after AQE coalescing, which only merges neighbours), so
-    the successor of a partition's last row is the smallest row of the
-    next non-empty partition."""
-    ranged = base.repartitionByRange(partitions, *_ORDER).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.lead(F.struct(*_ROW)).over(
-        Window.partitionBy("_p").orderBy(*_ORDER)))
-    # one row per partition: its smallest key; the same exchange is reused
-    firsts = ranged.groupBy("_p").agg(F.min(F.struct(*_ORDER, "disp")).alias("_f"))
-    following = (firsts.select("_p", F.lead("_f").over(Window.orderBy("_p")).alias("_g"))
-                       .select("_p", F.struct(*[F.col("_g")[c].alias(c) for c in _ROW]).alias("_nf")))
-    out = local.join(F.broadcast(following), "_p", "left")
-    out = out.withColumn("_n", F.when(F.col("_n").isNull() & F.col("_nf.rid").isNotNull(), F.col("_nf"))
-                                 .otherwise(F.col("_n")))
-    return out.where(F.col("_n").isNotNull()).drop("_p", "_nf")
-
-
-def largest_cell(df: DataFrame, cell_width: float = 0.1, ra: str = RA) -> int:
-    """Row count of the fullest ra cell (a histogram of <= 360/cell_width rows)."""
-    cells = df.where(F.col(ra).isNotNull()).groupBy(F.floor(F.col(ra) / cell_width)).count()
-    return cells.agg(F.max("count")).first()[0] or 0
+def _neighbour_pass(base: DataFrame, partitions: int, ra_tol: float, dec_tol: float,
+                    period_tol: float) -> DataFrame:
+    """Close neighbours (kind "pair") and boundary rows (kind "first", "last")
+    of each range partition, in one streaming pass."""
+    types = dict(base.dtypes)
+    one = [f"{c} {types[c]}" for c in _ROW]
+    schema = ", ".join(["kind string", *one, *[f"n_{c} {types[c]}" for c in _ROW]])
+    names = ["kind", *_ROW, *[f"n_{c}" for c in _ROW]]
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                yield _labelled("first", batch.slice(0, 1), None)
+                table = pa.Table.from_batches([batch])
+            else:
+                table = pa.Table.from_batches([last, batch])
+            table = table.combine_chunks()
+            here, after = table.slice(0, table.num_rows - 1), table.slice(1)
+            close = pc.not_equal(here["mis"], after["mis"])
+            for c, tol in (("ra", ra_tol), ("dec", dec_tol), ("per", period_tol)):
+                close = pc.and_(close, pc.less(pc.abs(pc.subtract(_double(here[c]), _double(after[c]))), tol))
+            close = pc.fill_null(close, False)
+            if pc.any(close).as_py():
+                yield _labelled("pair", here.filter(close), after.filter(close))
+            last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield _labelled("last", last, None)
+
+    def _labelled(kind, here, after):
+        n = here.num_rows
+        columns = [pa.array([kind] * n), *(_flat(here.column(c)) for c in _ROW)]
+        columns += [_flat(after.column(c)) if after is not None else pa.nulls(n, _flat(here.column(c)).type) for c in _ROW]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def _double(column):
+        return pc.cast(column, pa.float64(), safe=False)
+
+    def _flat(column):
+        if isinstance(column, pa.ChunkedArray):
+            return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        return column
+
+    return (base.select(*_ROW).repartitionByRange(partitions, *_ORDER).sortWithinPartitions(*_ORDER)
+            .mapInArrow(run, schema))
+
+
+def _adjacent_by_ranges(base: DataFrame, partitions: int, *tolerances: float) -> DataFrame:
+    """Each row with a close global successor ``_n``, and every boundary row
+    with its own."""
+    found = materialize(_neighbour_pass(base, partitions, *tolerances), "neighbours")
+    inner = found.where("kind = 'pair'").select(*_ROW, F.struct(*[F.col(f"n_{c}").alias(c) for c in _ROW]).alias("_n"))
+    edge = Window.orderBy(*_ORDER, "kind")  # two rows per partition; a lone row is first and last
+    over = (found.where("kind <> 'pair'").select("kind", *_ROW)
+            .withColumn("_k", F.lead("kind").over(edge)).withColumn("_n", F.lead(F.struct(*_ROW)).over(edge))
+            .where("kind = 'last' and _k = 'first'").select(*_ROW, "_n"))
+    return inner.unionByName(over)
 
 
 def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
@@ -112,11 +143,10 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
               ra: str = RA, dec: str = DEC, period: str = PERIOD,
               mission: str = MISSION, disposition: str = TARGET,
               row_id: str = ROW_ID, strategy: str = "range",
-              max_cell_rows: int = 5_000_000, partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """Adjacent cross-survey twins with winner and loser.
 
-    ``strategy``: "range" (default, skew-proof), "cells", or "auto"
-    (cells unless the fullest cell exceeds ``max_cell_rows``).  Output: row_id_1, row_id_2,
+    ``strategy``: "range" (default, skew-proof) or "cells".  Output: row_id_1, row_id_2,
     mission_1, mission_2, disposition_1, disposition_2, keep_id, drop_id.
     """
     if cell_width <= 2 * ra_tol:
@@ -125,13 +155,11 @@ def dup_pairs(df: DataFrame, ra_tol: float = 0.001, dec_tol: float = 0.001,
               .select(F.col(row_id).alias("rid"), F.col(ra).alias("ra"), F.col(dec).alias("dec"),
                       F.col(period).alias("per"), F.col(mission).alias("mis"),
                       F.col(disposition).alias("disp")))
-    if strategy == "auto":
-        strategy = "range" if largest_cell(base, cell_width, "ra") > max_cell_rows else "cells"
     if strategy == "cells":
         adj = _adjacent_by_cells(base, ra_tol, cell_width)
     elif strategy == "range":
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        adj = _adjacent_by_ranges(base, n)
+        adj = _adjacent_by_ranges(base, n, ra_tol, dec_tol, period_tol)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     pairs = adj.where(
@@ -168,7 +196,5 @@ def remove_cross_mission_duplicates(df: DataFrame, row_id: str = ROW_ID, require
     if not all(c in df.columns for c in required):
         return df
     kept = positioned(df, ra, dec, period)
-    # dup_pairs applies the same filter, so both branches share one
-    # subtree and Spark reuses its exchange instead of computing it twice.
     losers = dup_pairs(kept, row_id=row_id, **kw).select(F.col("drop_id").alias(row_id)).distinct()
     return kept.join(losers, on=row_id, how="left_anti")

@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.schema import MISSION, ROW_ID, TARGET
+from transitlake.sources.materialize import materialize
 
 BUCKET_HEX = 4  # 16 bits -> 65,536 buckets
+MAX_BROADCAST_STRATA = 100_000  # beyond it the same joins shuffle
 
 
 def order_key(seed: int, row_id: str = ROW_ID) -> Column:
@@ -45,8 +47,6 @@ def select_by_quota(df: DataFrame, strata: list[str], quotas: DataFrame, seed: i
     w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_cum", F.sum("_n").over(w))
     q = quotas.select(*strata, F.col("quota").cast("long").alias("quota"))
-    # quota / cut tables have one row per stratum; they come out of
-    # aggregates, so AQE sees their real size and broadcasts them.
     hq = hist.join(q, on=strata, how="inner")
     # the cut bucket: first bucket whose cumulative count reaches the quota
     cut = (hq.where((F.col("_cum") >= F.col("quota")) & (F.col("_cum") - F.col("_n") < F.col("quota")))
@@ -57,14 +57,19 @@ def select_by_quota(df: DataFrame, strata: list[str], quotas: DataFrame, seed: i
              .select(*strata, F.coalesce("_cut_b", F.when(F.col("quota") > 0, F.lit(1 << 30))
                                          .otherwise(F.lit(-1))).alias("_cut_b"),
                      F.coalesce("_need", F.lit(0)).alias("_need")))
-    j = keyed.join(cuts, on=strata, how="left")
-    j = j.withColumn("_cut_b", F.coalesce("_cut_b", F.lit(-1)))
-    below = j.where(F.col("_b") < F.col("_cut_b")).withColumn(flag, F.lit(True))
-    above = j.where(F.col("_b") > F.col("_cut_b")).withColumn(flag, F.lit(False))
-    edge = j.where(F.col("_b") == F.col("_cut_b"))
+    # one row per stratum, written so that its number is known before it is broadcast
+    cuts = materialize(cuts, "cuts")
+    few = F.broadcast if cuts.count() <= MAX_BROADCAST_STRATA else lambda x: x
+    # the last selected key of each stratum: only rows of cut buckets are ranked
+    edge = keyed.join(few(cuts), on=strata).where(F.col("_b") == F.col("_cut_b"))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_k", row_id))
-    edge = edge.withColumn(flag, rank <= F.col("_need"))
-    return below.unionByName(above).unionByName(edge).drop("_k", "_b", "_cut_b", "_need")
+    last = (edge.withColumn("_r", rank).where(F.col("_r") == F.col("_need"))
+                .select(*strata, F.struct("_k", F.col(row_id).alias("_id")).alias("_last")))
+    bounds = materialize(cuts.join(last, on=strata, how="left").drop("_need"), "cut-keys")
+    j = keyed.join(few(bounds), on=strata, how="left")
+    at_cut = F.struct("_k", F.col(row_id).alias("_id")) <= F.col("_last")
+    chosen = F.when(F.col("_b") < F.col("_cut_b"), F.lit(True)).when(F.col("_b") == F.col("_cut_b"), at_cut)
+    return j.withColumn(flag, F.coalesce(chosen, F.lit(False))).drop("_k", "_b", "_cut_b", "_last")
 
 
 def stratum_counts(df: DataFrame, strata: list[str]) -> DataFrame:

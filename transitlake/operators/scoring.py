@@ -18,6 +18,8 @@ from transitlake.operators.clean import (apply_column_mapping, auto_map_columns,
 from transitlake.operators.models import ClassifierModel
 from transitlake.schema import MISSION, ROW_ID
 
+ORIGINAL = "Original_"
+
 
 def features_map(cols: list[str]):
     """Row -> JSON object of the model's inputs; NaN / inf / NULL -> null,
@@ -29,33 +31,45 @@ def features_map(cols: list[str]):
 
 
 def prepare_upload(df: DataFrame, wanted: list[str] | None = None,
-                   mapping: dict | None = None, row_id: str = ROW_ID) -> DataFrame:
+                   mapping: dict | None = None, row_id: str = ROW_ID, originals: int = 5) -> DataFrame:
     """Map an uploaded frame onto the unified names (B16, B17, B18) and tag
-    it with the UNKNOWN survey (B4).  ``row_id`` is carried through."""
+    it with the UNKNOWN survey (B4).  ``row_id`` is carried through, and the
+    upload's own first ``originals`` columns as ``Original_*`` (B27)."""
+    given = [c for c in df.columns if c not in (row_id, MISSION)]
+    own = [F.col(f"`{c}`").alias(f"{ORIGINAL}{c}") for c in given[:originals]]
     if mapping is None and wanted is not None:
-        mapping = auto_map_columns([c for c in df.columns if c != row_id], wanted)
-    out = df
+        mapping = auto_map_columns(given, wanted)
     if mapping is not None:
-        keep = [F.col(row_id)] if row_id in df.columns else []
-        out = df.select(*keep, *[F.col(src).alias(dst) for dst, src in mapping.items() if src])
-    out = prefix_merged(out)
+        keep = [F.col(c) for c in (row_id, MISSION) if c in df.columns]
+        out = df.select(*keep, *own, *[F.col(f"`{src}`").alias(dst) for dst, src in mapping.items() if src])
+    else:
+        out = df.select("*", *own)
+    out = prefix_merged(out, keep=(MISSION, row_id, *[f"{ORIGINAL}{c}" for c in given]))
     if MISSION not in out.columns:
         out = out.withColumn(MISSION, F.lit("UNKNOWN"))
     return out
 
 
 def score(model: ClassifierModel, unified: DataFrame, originals: int = 5) -> DataFrame:
-    """Predictions for every input row."""
-    src_cols = [c for c in unified.columns if c not in (ROW_ID, MISSION)][:originals]
-    originals_df = unified.select(ROW_ID, *[F.col(c).alias(f"Original_{c}") for c in src_cols])
+    """Predictions for every input row (K11): one projection of the input, so
+    as many rows come out as go in whatever their ids, and it runs on streams.
+    Features that the input lacks are NULL (B15)."""
+    own = [c for c in unified.columns if c.startswith(ORIGINAL)]
+    if not own and originals:
+        first = [c for c in unified.columns if c not in (ROW_ID, MISSION)][:originals]
+        unified = unified.withColumns({f"{ORIGINAL}{c}": F.col(c) for c in first})
+        own = [f"{ORIGINAL}{c}" for c in first]
+    # the preprocessing selects merged columns; the originals ride along as one
+    if own:
+        unified = unified.withColumn("merged__originals", F.struct(*own))
     x = add_features(inference_frame(unified))
-    scored = model.transform(x)
-    scored = add_habitability(scored, prediction_col="prediction")
-    out = scored.select(ROW_ID, MISSION, "prediction", "confidence", "probability_map",
-                        features_map(model.prep.features).alias("features"),
-                        "habitability_score", "habitability_tier")
-    # same lineage, joined on the carried row id (no positional pairing)
-    return out.join(originals_df, ROW_ID, "left")
+    missing = [f for f in model.prep.features if f not in x.columns]
+    x = x.withColumns({f: F.lit(None).cast("double") for f in missing})
+    scored = add_habitability(model.transform(x), prediction_col="prediction")
+    return scored.select(ROW_ID, MISSION, "prediction", "confidence", "probability_map",
+                         features_map(model.prep.features).alias("features"),
+                         "habitability_score", "habitability_tier",
+                         *[F.col("merged__originals")[c].alias(c) for c in own])
 
 
 def write_predictions_csv(scored: DataFrame, path: str) -> None:

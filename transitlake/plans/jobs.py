@@ -65,10 +65,11 @@ def score_job(spark: SparkSession, model_path: str, csv_path: str, out: str,
     """Score an uploaded CSV (K11) -> CSV sink (A9) and optional store append (A4)."""
     model = MD.ClassifierModel.load(model_path)
     raw = spark.read.option("header", True).csv(csv_path)
-    raw = raw.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]))
+    # written once, so that the row numbers are final; equal rows keep ids of their own
+    raw = materialize(raw.withColumn("row_id", F.monotonically_increasing_id()), "upload")
     wanted = [f.replace("merged_", "") for f in model.prep.features if f.startswith("merged_")]
     up = prepare_upload(raw, wanted=wanted)
-    up = up.select(*[F.col(c).cast("double").alias(c) if c.startswith("merged_") else F.col(c)
+    up = up.select(*[F.col(c).try_cast("double").alias(c) if c.startswith("merged_") else F.col(c)
                      for c in up.columns])
     scored = materialize(score(model, up), "scored")
     write_csv(scored, out)

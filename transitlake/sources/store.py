@@ -85,7 +85,7 @@ def delete_user_predictions(spark: SparkSession, root: str, user_id: str) -> Non
     b = _bucket_of(spark, user_id)
     path = f"{root}/predictions"
     keep = spark.read.schema(STORED_SCHEMA).parquet(path).where((F.col("user_bucket") == b)
-                                          & (F.col("user_id") != F.lit(str(user_id))))
+                                          & ~F.col("user_id").eqNullSafe(F.lit(str(user_id))))
     stage = f"{root}/_staging/{uuid.uuid4().hex}"
     keep.write.mode("overwrite").partitionBy("user_bucket").parquet(stage)
     staged = spark.read.schema(STORED_SCHEMA).parquet(stage)
@@ -99,14 +99,17 @@ def delete_user_predictions(spark: SparkSession, root: str, user_id: str) -> Non
             staged.write.mode("overwrite").partitionBy("user_bucket").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        _remove(spark, stage)
 
 
 def _drop_bucket(spark: SparkSession, path: str, bucket: int) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     b = spark.range(1).select(bucket).first()[0]
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/user_bucket={b}")
-    fs = p.getFileSystem(conf)
+    _remove(spark, f"{path}/user_bucket={b}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(p):
         fs.delete(p, True)
 
