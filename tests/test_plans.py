@@ -10,7 +10,7 @@ from transitlake.plans.registry import all_queries
 
 # model fits and experiments train while the plan is built; their scans
 # and aggregates are the same operators checked through other queries
-MODEL_QUERIES = {"batch_score", "best_mix", "feature_importance", "mixed_training_tess",
+MODEL_QUERIES = {"batch_score", "best_mix", "feature_importance", "mixed_training_tess", "mixed_training_kepler",
                  "refit_balanced", "survey_transfer", "domain_pca"}
 PYTHON_ALLOWED = {"quantile_normal"}
 QUERIES = all_queries()  # this library's own; optional subpackages test theirs

@@ -24,7 +24,7 @@ from transitlake.sources.materialize import materialize
 SURVEYS = ("KEPLER", "TESS")
 
 
-def _fit(train: DataFrame, feats, label, num_trees=20, max_depth=6):
+def _fit(train: DataFrame, feats, label, num_trees=100, max_depth=10):
     return MD.fit_forest(train, feats, label, num_trees=num_trees, max_depth=max_depth)
 
 
@@ -71,7 +71,8 @@ def mixed_training(df: DataFrame, feats, label: str, base_survey: str = "KEPLER"
 def refit_on_balanced(df: DataFrame, feats, label: str, base_survey: str = "TESS",
                       target_survey: str = "KEPLER", cap: int = 500, **fit_kw) -> DataFrame:
     """Option B (K18): a base model on one survey, then a fresh model on a
-    balanced (<= cap per class) subset of the other, split 70/30."""
+    balanced (<= cap per class) subset of the other, split 70/30, which is
+    also evaluated back on the base survey's held-out rows."""
     base = df.where(F.col(MISSION) == base_survey).drop("is_train")
     bsp = materialize(stratified_split(base, target=label), "exp_base")
     m0 = _fit(bsp.where("is_train"), feats, label, **fit_kw)
@@ -79,10 +80,12 @@ def refit_on_balanced(df: DataFrame, feats, label: str, base_survey: str = "TESS
                                     [label], cap), "exp_balanced")
     tsp = materialize(stratified_split(bal, target=label, test_size=0.3), "exp_refit")
     m1 = _fit(tsp.where("is_train"), feats, label, **fit_kw)
-    return _eval_row(m0, bsp.where(~F.col("is_train")), label, experiment="base",
-                     eval_survey=base_survey).unionByName(
-        _eval_row(m1, tsp.where(~F.col("is_train")), label, experiment="refit_balanced",
-                  eval_survey=target_survey))
+    held_out = bsp.where(~F.col("is_train"))
+    rows = [_eval_row(m0, held_out, label, experiment="base", eval_survey=base_survey),
+            _eval_row(m1, tsp.where(~F.col("is_train")), label, experiment="refit_balanced",
+                      eval_survey=target_survey),
+            _eval_row(m1, held_out, label, experiment="refit_on_base", eval_survey=base_survey)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def ratio_experiments(df: DataFrame, feats, label: str, ratios=(0.9, 0.8, 0.7, 0.6, 0.5),

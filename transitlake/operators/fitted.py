@@ -79,14 +79,14 @@ class MedianImputerModel:
 APPROX_ACCURACY = 100_000
 
 
-def fit_median_imputer(df: DataFrame, cols, exact: bool | None = True) -> MedianImputerModel:
+def fit_median_imputer(df: DataFrame, cols, exact: bool = True) -> MedianImputerModel:
     """Exact medians (linear interpolation) by the distributed exact
     percentile (stats.exact_percentiles), so no group's values are held in
     one task.  ``exact=False`` uses the percentile_approx sketch instead."""
     have = [c for c in cols if c in df.columns]
     if not have:
         return MedianImputerModel({})
-    if exact is False:
+    if not exact:
         row = df.agg(*[F.percentile_approx(c, 0.5, APPROX_ACCURACY).alias(c) for c in have]).first()
         return MedianImputerModel({c: row[c] for c in have})
     return MedianImputerModel(_exact_single(df, have, 0.5))

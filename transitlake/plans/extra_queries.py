@@ -101,6 +101,11 @@ def q_mixed_training_tess(spark, sf_dir):
     return round_doubles(EX.mixed_training(s, feats, LABEL, base_survey="TESS"))
 
 
+def q_mixed_training_kepler(spark, sf_dir):
+    s, feats = model_input(spark, sf_dir)
+    return round_doubles(EX.mixed_training(s, feats, LABEL, base_survey="KEPLER"))
+
+
 def q_refit_balanced(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
     return round_doubles(EX.refit_on_balanced(s, feats, LABEL))
@@ -112,6 +117,7 @@ QUERIES = {
     "upload_mapping": q_upload_mapping,
     "party_union": q_party_union,
     "mixed_training_tess": q_mixed_training_tess,
+    "mixed_training_kepler": q_mixed_training_kepler,
     "refit_balanced": q_refit_balanced,
 }
 

@@ -55,21 +55,24 @@ def q_train_boosted_candidates(spark, sf_dir):
 
 def q_train_mlp_candidates(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
-    m = MD.fit_mlp(s.where("is_train"), feats, LABEL, hidden=(32, 16), max_iter=100)
+    m = MD.fit_mlp(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["mlp"])
     return round_doubles(summary_metrics(m.transform(s.where(~F.col("is_train"))), LABEL, "prediction"))
 
 
-def embeddings_frame(spark, sf_dir, dims: int = 64):
+def embeddings_frame(spark, sf_dir):
+    """One column per vector entry; the width is the longest vector's
+    (shorter ones get NULLs, imputed like any missing feature)."""
     e = read_table(spark, sf_dir, "embeddings")
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("label"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e_{i}") for i in range(dims)])
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"e_{i}") for i in range(dims)])
 
 
 def q_train_mlp_embeddings(spark, sf_dir):
-    e = embeddings_frame(spark, sf_dir)
-    classes = [str(i) for i in range(10)]
+    e = embeddings_frame(spark, sf_dir).where(F.col("label").isNotNull())
     sp = materialize(stratified_split(e, target="label"), "embeddings_split")
-    feats = [f"e_{i}" for i in range(64)]
+    classes = [r.label for r in sp.select("label").distinct().orderBy("label").collect()]
+    feats = [c for c in e.columns if c.startswith("e_")]
     m = MD.fit_mlp(sp.where("is_train"), feats, "label", classes=classes, hidden=(64, 32), max_iter=100)
     return round_doubles(summary_metrics(m.transform(sp.where(~F.col("is_train"))), "label",
                                          "prediction", classes))
@@ -77,7 +80,7 @@ def q_train_mlp_embeddings(spark, sf_dir):
 
 def q_feature_importance(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
-    m = MD.fit_forest(s.where("is_train"), feats, LABEL, num_trees=30, max_depth=8)
+    m = MD.fit_forest(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["random_forest"])
     return round_doubles(top_k(m.feature_importance(spark), "importance", 20, tie="feature"))
 
 
@@ -85,7 +88,7 @@ def q_batch_score(spark, sf_dir):
     """Train on the split's training rows, then score the whole unified
     catalog as an inference frame (target dropped, no dedupe)."""
     s, feats = model_input(spark, sf_dir)
-    m = MD.fit_forest(s.where("is_train"), feats, LABEL, num_trees=30, max_depth=8)
+    m = MD.fit_forest(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["random_forest"])
     scored = score(m, X.candidates(spark, sf_dir))
     return round_doubles(scored.drop("probability_map"))
 
@@ -97,7 +100,7 @@ def q_survey_transfer(spark, sf_dir):
 
 def q_best_mix(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
-    return round_doubles(EX.ratio_experiments(s, feats, LABEL, ratios=(0.8, 0.5), total=8000))
+    return round_doubles(EX.ratio_experiments(s, feats, LABEL, total=8000))
 
 
 QUERIES = {
