@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from transitlake.session import ensure_checkpoint_dir
 from transitlake.sources.tables import read_table
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -29,6 +31,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts of at most BATCH_ROWS rows and about
+    BATCH_BYTES, unless the session already asks for smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+$", spark.conf.get(key))  # the default, or a size with a unit, is replaced
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches so that one slice holds at most about SLICE_BYTES of
     text (a longer text is a slice of its own); nulls read as empty."""
@@ -54,6 +66,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
               per_slice: Callable[[list[str]], list[pa.Array]], carry: list[str] | None = None) -> DataFrame:
     """``df``'s id (and ``carry`` columns), then the columns that ``per_slice``
     makes of each slice of texts.  One Arrow pass, no shuffle."""
+    bounded_batches(df.sparkSession)
     keep = [id_col, *(carry or [])]
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"),
                     *[F.col(c) for c in carry or []])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import documents, text_slices, write_table
+from transitlake.llm.common import bounded_batches, documents, text_slices, write_table
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS = 30
@@ -146,6 +146,7 @@ def _without(text: str, runs: list[dict]) -> tuple[str, int, int, int]:
 
 def _cleaned(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``df``'s columns, __text, __n_lines, __n_removed, __n_runs; a row each."""
+    bounded_batches(df.sparkSession)
     marked = write_table(df.withColumn("__row", F.monotonically_increasing_id()), "line-dedup-input")
     runs = repeated_runs(marked, id_col, text_col, min_words).hint("merge")  # as many rows as changed texts: never broadcast
     joined = (marked.join(runs, "__row", "left").drop("__row")

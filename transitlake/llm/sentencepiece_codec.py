@@ -95,7 +95,7 @@ def _codec(model_file: str, max_entries: int) -> ChunkCodec:
 
 
 def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-                  begin_end: bool = True, max_entries: int = 300_000, carry: list[str] | None = None) -> DataFrame:
+                  begin_end: bool = True, max_entries: int = 150_000, carry: list[str] | None = None) -> DataFrame:
     """id, ``carry``, token_ids array<int>, decoded string."""
 
     def run(texts):
@@ -108,7 +108,7 @@ def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
 
 
 def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-            max_entries: int = 300_000) -> DataFrame:
+            max_entries: int = 150_000) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, n_chars: what encode_decode
     makes, digested where it is made so that no ids leave the task."""
 

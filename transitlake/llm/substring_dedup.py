@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import documents, write_table
+from transitlake.llm.common import bounded_batches, documents, write_table
 from transitlake.llm.gsaca import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -292,6 +292,7 @@ def cut_out(data: bytes, cuts: list[dict], length: int) -> tuple[bytes, int, int
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM,
           max_contexts: int = 20_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    bounded_batches(df.sparkSession)
     marked = write_table(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
                          .withColumn("__row", F.monotonically_increasing_id()), "substring-input")
     cuts = _grouped(later_copies(marked, length, k, max_contexts))
