@@ -123,7 +123,8 @@ def ovr_auc(df: DataFrame, label: str, prob_cols: dict, classes=CLASSES) -> Data
     # exclusive running count of negatives below each distinct score, by
     # value blocks so a class with ~N distinct scores is not one task
     from transitlake.operators.stats import blocked_running_sums
-    cum = blocked_running_sums(by_score, "cls", "score", ["q"]).withColumn(
+    # one group per named class: the boundaries and offsets are bounded by the call
+    cum = blocked_running_sums(by_score, "cls", "score", ["q"], small=F.broadcast).withColumn(
         "q_below", F.col("cum_q") - F.col("q"))
     per = cum.groupBy("cls").agg(
         F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2.0)).alias("_s"),

@@ -66,17 +66,24 @@ def _count_below(bounds, value, n: int):
     return tree(0, n)
 
 
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def blocked_running_sums(agg: DataFrame, part: str, order: str, sums: list[str],
-                         blocks: int = 64) -> DataFrame:
+                         blocks: int = 64, small=_as_is) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``sums`` over ``order`` within
     each ``part`` group, without one window partition per group: values
     are cut into ``blocks`` ranges by approximate quantiles, per-block
     totals give exclusive offsets (tiny table), and the running sum runs
     per (group, block).  Exact for any boundaries; ``order`` values must
-    be distinct within a group (pre-aggregated input)."""
+    be distinct within a group (pre-aggregated input).  ``small`` marks the
+    boundaries and offsets (``blocks`` rows per group) for the join: pass
+    ``F.broadcast`` where the number of groups is bounded, so that the
+    values of one group are not gathered by its key."""
     probs = [i / blocks for i in range(1, blocks)]
     bounds = agg.groupBy(part).agg(F.percentile_approx(order, probs, 1000).alias("_bounds"))
-    blk = (agg.join(bounds, part)
+    blk = (agg.join(small(bounds), part)
               .withColumn("_blk", _count_below(F.col("_bounds"), F.col(order), len(probs)))
               .drop("_bounds"))
     totals = blk.groupBy(part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
@@ -84,7 +91,7 @@ def blocked_running_sums(agg: DataFrame, part: str, order: str, sums: list[str],
     offsets = totals.select(part, "_blk", *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0))
                                             .alias(f"_o_{c}") for c in sums])
     run = Window.partitionBy(part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = blk.join(offsets, [part, "_blk"])
+    out = blk.join(small(offsets), [part, "_blk"])
     out = out.withColumns({f"cum_{c}": F.sum(c).over(run) + F.col(f"_o_{c}") for c in sums})
     return out.drop("_blk", *[f"_o_{c}" for c in sums])
 
@@ -97,7 +104,8 @@ def ks_statistic(df: DataFrame, features: list[str], a: str = "KEPLER", b: str =
         F.count(F.when(F.col(group) == a, 1)).alias("na"),
         F.count(F.when(F.col(group) == b, 1)).alias("nb"))
     tot = agg.groupBy("feature").agg(F.sum("na").alias("_tot_a"), F.sum("nb").alias("_tot_b"))
-    cum = blocked_running_sums(agg, "feature", "value", ["na", "nb"], blocks).join(tot, "feature")
+    # one row per named feature, so the small sides are bounded by the call
+    cum = blocked_running_sums(agg, "feature", "value", ["na", "nb"], blocks, F.broadcast).join(F.broadcast(tot), "feature")
     gap = F.abs(F.col("cum_na") / F.col("_tot_a") - F.col("cum_nb") / F.col("_tot_b"))
     return (cum.groupBy("feature").agg(F.max(gap).alias("d_stat"),
                                        F.first("_tot_a").alias("n_a"), F.first("_tot_b").alias("n_b"))
@@ -152,7 +160,9 @@ def exact_percentiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
     vals = (long.where(F.col("value").isNotNull())
                 .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
                 .withColumn("_part", part))
-    cum = blocked_running_sums(vals, "_part", "value", ["c"])
+    # without ``by`` there is a group per named column: bounded by the call
+    small = _as_is if by else F.broadcast
+    cum = blocked_running_sums(vals, "_part", "value", ["c"], small=small)
     pr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
     targets = (vals.groupBy("_part").agg(F.sum("c").alias("_n"))
                    .select("_part", "_n", F.inline(pr))
@@ -160,7 +170,7 @@ def exact_percentiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
                    .select("_part", F.col("i").alias("prob_idx"), "_h",
                            F.floor("_h").alias("_l"), F.ceil("_h").alias("_u")))
     lo, hi = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1
-    hit = cum.select("_part", "value", lo.alias("_lo"), hi.alias("_hi")).join(targets, "_part")
+    hit = cum.select("_part", "value", lo.alias("_lo"), hi.alias("_hi")).join(small(targets), "_part")
     is_l = (F.col("_l") >= F.col("_lo")) & (F.col("_l") <= F.col("_hi"))
     is_u = (F.col("_u") >= F.col("_lo")) & (F.col("_u") <= F.col("_hi"))
     pts = (hit.where(is_l | is_u).groupBy("_part", "prob_idx")
