@@ -15,6 +15,7 @@ MODULES = [
     "transitlake.plans.model_queries",
     "transitlake.plans.extra_queries",
     "transitlake.plans.match_queries",
+    "transitlake.plans.store_queries",
 ]
 
 

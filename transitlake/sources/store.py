@@ -43,11 +43,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def append_rows(root: str, rows: DataFrame) -> None:
+    """Append history rows (PREDICTIONS_SCHEMA names) to their users' buckets."""
+    (rows.select(*[F.col(f.name).cast(f.dataType) for f in PREDICTIONS_SCHEMA.fields])
+     .withColumn("user_bucket", user_bucket())
+     .write.mode("append").partitionBy("user_bucket").parquet(f"{root}/predictions"))
+
+
 def append_predictions(spark: SparkSession, root: str, scored: DataFrame, user_id: str,
                        model_name: str) -> None:
     """Append one scored batch (A4): id, user, timestamps, features map,
     prediction, confidence (0-1), habitability score."""
-    rows = scored.select(
+    append_rows(root, scored.select(
         F.expr("uuid()").alias("id"),
         F.lit(str(user_id)).alias("user_id"),
         F.current_timestamp().alias("created_at"),
@@ -57,8 +64,7 @@ def append_predictions(spark: SparkSession, root: str, scored: DataFrame, user_i
         F.col("confidence").cast("double"),
         F.col("habitability_score").cast("double"),
         F.current_timestamp().alias("saved_at"),
-    ).withColumn("user_bucket", user_bucket())
-    rows.write.mode("append").partitionBy("user_bucket").parquet(f"{root}/predictions")
+    ))
 
 
 def read_predictions(spark: SparkSession, root: str, user_id: str | None = None) -> DataFrame:
