@@ -11,8 +11,9 @@ id, or earlier in the same text) is removed.
    and read as a stream.  A k-gram that occurs once owns no repeated window.
    Of equal contexts all but the first are later copies of all their windows;
    only the first goes on, and only if its k-gram has other contexts.
-3. Suffix arrays.  The distinct contexts of a k-gram, packed with those of
-   other k-grams, get a suffix array by linear grouping (``gsaca``); windows
+3. Suffix arrays.  The distinct contexts of a k-gram, less the bytes at their
+   ends that no other one shares, packed with those of other k-grams, get a
+   suffix array by linear grouping (``gsaca``); windows
    with ``length`` equal bytes are neighbours in it, and all but the earliest
    of such a class are later copies.  A k-gram with more than ``max_contexts``
    distinct contexts is split by window instead: its windows are grouped by
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ PACK = 1 << 16   # bytes of contexts in one suffix array, more where one k-gram
 MUL = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-ANCHOR = "h long, c long, id long, __row long, lo int, n int"
+ANCHOR = "h long, c long, id long, __row long, lo int, span int"  # span: windows, and the anchor's offset above bit 16
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int, k: int):
-    """(text, k-gram hash, context hash, first window, windows) of every anchor."""
+    """(text, k-gram hash, context hash, first window, span) of every anchor."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -94,7 +96,7 @@ def anchors(texts: list[bytes], length: int, k: int):
     c = (n * 1021 + (place - lo)).astype(np.uint64)
     for step in range(0, 2 * length - k, k):
         c = _scatter(c * MUL + h[np.minimum(lo + step, last)])
-    return owner, h[place].view(np.int64), c.view(np.int64), lo - starts[owner], n
+    return owner, h[place].view(np.int64), c.view(np.int64), lo - starts[owner], n | (place - lo) << 16
 
 
 def _pieces(batches, length: int):
@@ -116,11 +118,11 @@ def anchor_table(texts: DataFrame, length: int, k: int) -> DataFrame:
         for ids, rows, data in _pieces(batches, length):
             found = anchors(data, length, k)
             if found is not None:
-                owner, h, c, lo, n = found
+                owner, h, c, lo, span = found
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(c), ids.take(take), rows.take(take), pa.array(lo.astype(np.int32)),
-                     pa.array(n.astype(np.int32))], names=[x.split()[0] for x in ANCHOR.split(", ")])
+                     pa.array(span.astype(np.int32))], names=[x.split()[0] for x in ANCHOR.split(", ")])
 
     return texts.mapInArrow(run, ANCHOR)
 
@@ -202,19 +204,53 @@ def _interval_batch(found: list[tuple]) -> pa.RecordBatch:
                                       names=["__row", "lo", "n"])
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    m = min(len(a), len(b))
+    return m - ((int.from_bytes(a[:m]) ^ int.from_bytes(b[:m])).bit_length() + 7) // 8
+
+
+def _longest(parts: list[bytes]) -> list[int]:
+    """Per string its longest common prefix with any other of them."""
+    best = [0] * len(parts)
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    for x, y in zip(order, order[1:]):
+        m = _common(parts[x], parts[y])
+        best[x], best[y] = max(best[x], m), max(best[y], m)
+    return best
+
+
+def _trimmed(group: list[tuple], length: int) -> list[tuple]:
+    """``group``: (place, __row, lo, n, bytes, anchor offset) of one k-gram's
+    contexts.  Windows that reach further left or right of the anchor than any
+    other context agrees have no equal, so those bytes need no suffix array."""
+    if len(group) < 2:
+        return []
+    right = _longest([g[4][g[5]:] for g in group])
+    left = _longest([g[4][:g[5]][::-1] for g in group])
+    return [(place, row, lo + at - a, a + b - length + 1, data[at - a:at + b])
+            for (place, row, lo, _, data, at), a, b in zip(group, left, right) if a + b >= length]
+
+
 def _suffix_array_stream(length: int):
+    names = ("h", "id", "__row", "lo", "n", "at", "bytes")
+
     def run(batches):
-        held, size, last = [], 0, None
+        pack, size, group, last = [], 0, [], None
         for batch in batches:
-            for h, i, row, lo, n, data in zip(*(batch[c].to_pylist() for c in ("h", "id", "__row", "lo", "n", "bytes"))):
-                if h != last and size >= PACK:
-                    yield _interval_batch(_later_windows(held, length))
-                    held, size = [], 0
-                held.append((_order(i), row, lo, n, data))
-                size += len(data)
-                last = h
-        if held:
-            yield _interval_batch(_later_windows(held, length))
+            for h, i, row, lo, n, at, data in zip(*(batch[c].to_pylist() for c in names)):
+                if h != last:
+                    ready = _trimmed(group, length)
+                    pack += ready
+                    size += sum(len(x[4]) for x in ready)
+                    group, last = [], h
+                    if size >= PACK:
+                        yield _interval_batch(_later_windows(pack, length))
+                        pack, size = [], 0
+                group.append((_order(i), row, lo, n, data, at))
+        pack += _trimmed(group, length)
+        if pack:
+            yield _interval_batch(_later_windows(pack, length))
 
     return run
 
@@ -234,21 +270,22 @@ def later_copies(texts: DataFrame, length: int = LENGTH, k: int = GRAM, max_cont
     n_parts = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     split = write_table(anchor_table(texts, length, k).repartition(int(n_parts), "h").sortWithinPartitions("h", "c", *place)
                         .mapInArrow(_split_copies, f"{ANCHOR}, first boolean"), "substring-copies")
-    copies = split.where("not first").select("__row", "lo", "n")
+    windows_of = F.col("span").bitwiseAND(F.lit(0xFFFF)).alias("n")
+    copies = split.where("not first").select("__row", "lo", windows_of)
 
-    firsts = split.where("first").select("h", "__row", "lo", "n")
+    firsts = split.where("first").select("h", "__row", "lo", windows_of, F.shiftright("span", 16).alias("at"))
     heavy = firsts.groupBy("h").count().where(F.col("count") > max_contexts).select("h", F.lit(True).alias("heavy"))
     wanted = firsts.join(heavy, "h", "left").groupBy("__row").agg(
-        F.collect_list(F.struct("h", "lo", "n", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("x"))
+        F.collect_list(F.struct("h", "lo", "n", "at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("x"))
     fetch = texts.join(wanted, "__row")
-    schema = "h long, id long, __row long, lo int, n int, heavy boolean, bytes binary"
+    schema = "h long, id long, __row long, lo int, n int, at int, heavy boolean, bytes binary"
 
     def contexts(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 doc, row, data = batch["id"][i].as_py(), batch["__row"][i].as_py(), batch["__text"][i].as_py().encode()
-                out += [(x["h"], doc, row, x["lo"], x["n"], x["heavy"], data[x["lo"]:x["lo"] + x["n"] + length - 1])
+                out += [(x["h"], doc, row, x["lo"], x["n"], x["at"], x["heavy"], data[x["lo"]:x["lo"] + x["n"] + length - 1])
                         for x in batch["x"][i].as_py()]
                 if len(out) > 20_000:
                     yield _rows(out, schema)
@@ -277,13 +314,9 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
                                       names=[name for name, _ in fields])
 
 
-def cut_out(data: bytes, cuts: list[dict], length: int) -> tuple[bytes, int, int]:
+def cut_out(data: bytes, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[bytes, int, int]:
     """(bytes left, bytes removed, maximal removed runs)."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    lo = np.array([x["lo"] for x in cuts], np.int64)
-    hi = lo + np.array([x["n"] for x in cuts], np.int64) + length - 1
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi, -1)
+    edge = np.bincount(lo, minlength=len(data) + 1) - np.bincount(lo + n + length - 1, minlength=len(data) + 1)
     gone = np.cumsum(edge[:-1]) > 0
     left = np.frombuffer(data, np.uint8)[~gone].tobytes()
     return left, int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
@@ -303,9 +336,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 out = []
-                for text, found in zip(part["__text"].to_pylist(), part["__cuts"].to_pylist()):
+                cuts = part["__cuts"].flatten()
+                lo, n = (cuts.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                ends = np.cumsum(pc.fill_null(part["__cuts"].value_lengths(), 0).to_numpy())
+                for text, b, e in zip(part["__text"].to_pylist(), [0, *ends], ends):
                     data = (text or "").encode()
-                    out.append((len(data), *(cut_out(data, found, length) if found else (data, 0, 0))))
+                    out.append((len(data), *(cut_out(data, lo[b:e], n[b:e], length) if e > b else (data, 0, 0))))
                 size, left, removed, spans = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [part["id"], *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(left, pa.binary())],
