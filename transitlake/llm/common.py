@@ -15,6 +15,7 @@ from transitlake.session import ensure_checkpoint_dir
 from transitlake.sources.tables import read_table
 
 SLICE_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
@@ -24,10 +25,16 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and reread it:
-    lineage is cut and an executor lost later costs only a reread."""
+    lineage is cut, an executor lost later costs only a reread, and the shuffle
+    files behind the table are dropped as soon as it is written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
