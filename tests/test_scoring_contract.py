@@ -87,3 +87,33 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("name, params", [("random_forest", dict(num_trees=3, max_depth=3)),
+                                          ("catboost", dict(max_iter=2, max_depth=2))])
+def test_train_save_load_score(spark, name, params):
+    """The train job's preparation follows the model's name and travels with
+    the saved model."""
+    from transitlake.plans.jobs import score_job, train_job
+    from transitlake.sources import fixtures as X
+    d = tempfile.mkdtemp(prefix="tl-train-", dir="/tmp")
+    X.koi_catalog(spark, SF_SMALL).write.option("header", True).csv(f"{d}/koi")
+    X.toi_catalog(spark, SF_SMALL).write.option("header", True).csv(f"{d}/toi")
+    model, metrics = train_job(spark, f"{d}/koi", f"{d}/toi", name, f"{d}/model", **params)
+    feats = model.prep.features
+    assert any("_err" in f for f in feats) == (name == "catboost")
+    assert ("radius_ratio_squared" in feats) == (name == "catboost")
+    assert metrics.first()["accuracy"] > 0
+    upload = X.koi_catalog(spark, SF_SMALL).drop("koi_disposition", "koi_duration")
+    upload.write.option("header", True).csv(f"{d}/upload")
+    rows = score_job(spark, f"{d}/model", f"{d}/upload", f"{d}/scored")
+    assert rows.count() == upload.count()
+    assert rows.where("prediction is null").count() == 0
+
+
+def test_sparse_columns_are_fitted_on_training_rows(spark):
+    from transitlake.operators.model_input import fit_feature_list
+    train = spark.createDataFrame([(i, "KEPLER", 1.0 if i == 0 else None, 2.0, 1.0 if i < 4 else None) for i in range(10)],
+                                  "row_id long, mission string, merged_a double, merged_b double, merged_c double")
+    assert fit_feature_list(train, "lightgbm") == ["merged_a", "merged_b", "merged_c"]
+    assert fit_feature_list(train, "random_forest") == ["merged_b"]

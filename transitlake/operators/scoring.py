@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.features import add_features
+from transitlake.functions.features import add_features, catboost_features
 from transitlake.functions.habitability import add_habitability
 from transitlake.operators.clean import (apply_column_mapping, auto_map_columns, inference_frame,
                                          prefix_merged)
@@ -63,6 +63,8 @@ def score(model: ClassifierModel, unified: DataFrame, originals: int = 5) -> Dat
     if own:
         unified = unified.withColumn("merged__originals", F.struct(*own))
     x = add_features(inference_frame(unified))
+    own_family = catboost_features(set(x.columns))  # only where the model was fitted with them
+    x = x.withColumns({f: own_family[f] for f in model.prep.features if f in own_family})
     missing = [f for f in model.prep.features if f not in x.columns]
     x = x.withColumns({f: F.lit(None).cast("double") for f in missing})
     scored = add_habitability(model.transform(x), prediction_col="prediction")

@@ -17,11 +17,11 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.functions.features import add_features
 from transitlake.operators import models as MD
-from transitlake.operators.clean import drop_leaking, training_frame
+from transitlake.operators.clean import training_frame
 from transitlake.operators.match import remove_cross_mission_duplicates
 from transitlake.operators.metrics import summary_metrics
+from transitlake.operators.model_input import fit_feature_list, model_frame
 from transitlake.operators.sampling import survey_first_split
 from transitlake.operators.scoring import prepare_upload, score
 from transitlake.operators.unify import unify_catalogs
@@ -42,11 +42,9 @@ def train_job(spark: SparkSession, koi_path: str, toi_path: str, model_name: str
     report = validation_summary(quality_report(unified)).first()
     if not report["is_valid"]:
         raise ValueError(f"catalog failed validation: {report.asDict()}")
-    prepped = drop_leaking(add_features(remove_cross_mission_duplicates(training_frame(unified))))
+    prepped = model_frame(remove_cross_mission_duplicates(training_frame(unified)), model_name)
     table = materialize(survey_first_split(prepped), "train_input")
-    feats = [c for c in table.columns
-             if c.startswith(("merged_", "feat_")) and c != TARGET
-             and dict(table.dtypes)[c] in ("double", "int", "bigint")]
+    feats = fit_feature_list(table.where("is_train"), model_name)
     fit = MD.FITTERS[model_name]
     kw = dict(MD.MODEL_PARAMS[model_name])
     kw.update(params)
