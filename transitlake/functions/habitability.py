@@ -36,7 +36,7 @@ def temperature_score(t: Column) -> Column:
     return (F.when(t == 0, 0.0)
             .when(_between(t, 273, 373), 100.0)
             .when(_between(t, 200, 450),
-                  F.when(t < 273, _gauss(-t, -273, 50)).otherwise(_gauss(t, 373, 50)))
+                  F.when(t < 273, _gauss(t, 273, 50)).otherwise(_gauss(t, 373, 50)))
             .otherwise(F.greatest(F.lit(0.0), _gauss(t, 323, 100))))
 
 
