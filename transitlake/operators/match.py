@@ -16,7 +16,7 @@ partition is read once as a stream that compares every row with the one
 before it and gives out the close pairs and, as boundaries, its first and
 last row.  That output is written once to the shared folder; the last row
 of a partition is then compared with the first of the next non-empty one
-from the boundaries, of which there are two per partition.  Pairs and
+from the boundaries, aggregated to one row per partition.  Pairs and
 boundaries come from one pass over one exchange, so the answer does not
 depend on how often Spark runs or reuses an exchange, and rows are
 shuffled once.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +84,8 @@ def _neighbour_pass(base: DataFrame, partitions: int, ra_tol: float, dec_tol: fl
     of each range partition, in one streaming pass."""
     types = dict(base.dtypes)
     one = [f"{c} {types[c]}" for c in _ROW]
-    schema = ", ".join(["kind string", *one, *[f"n_{c} {types[c]}" for c in _ROW]])
-    names = ["kind", *_ROW, *[f"n_{c}" for c in _ROW]]
+    schema = ", ".join(["kind string", "part int", *one, *[f"n_{c} {types[c]}" for c in _ROW]])
+    names = ["kind", "part", *_ROW, *[f"n_{c}" for c in _ROW]]
 
     def run(batches):
         last = None
@@ -110,7 +111,8 @@ def _neighbour_pass(base: DataFrame, partitions: int, ra_tol: float, dec_tol: fl
 
     def _labelled(kind, here, after):
         n = here.num_rows
-        columns = [pa.array([kind] * n), *(_flat(here.column(c)) for c in _ROW)]
+        part = TaskContext.get().partitionId()
+        columns = [pa.array([kind] * n), pa.array([part] * n, pa.int32()), *(_flat(here.column(c)) for c in _ROW)]
         columns += [_flat(after.column(c)) if after is not None else pa.nulls(n, _flat(here.column(c)).type) for c in _ROW]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -131,10 +133,13 @@ def _adjacent_by_ranges(base: DataFrame, partitions: int, *tolerances: float) ->
     with its own."""
     found = materialize(_neighbour_pass(base, partitions, *tolerances), "neighbours")
     inner = found.where("kind = 'pair'").select(*_ROW, F.struct(*[F.col(f"n_{c}").alias(c) for c in _ROW]).alias("_n"))
-    edge = Window.orderBy(*_ORDER, "kind")  # two rows per partition; a lone row is first and last
-    over = (found.where("kind <> 'pair'").select("kind", *_ROW)
-            .withColumn("_k", F.lead("kind").over(edge)).withColumn("_n", F.lead(F.struct(*_ROW)).over(edge))
-            .where("kind = 'last' and _k = 'first'").select(*_ROW, "_n"))
+    whole = F.struct(*_ORDER, "disp")
+    edges = (found.where("kind <> 'pair'").groupBy("part")
+             .agg(F.min(F.when(F.col("kind") == "first", whole)).alias("_f"),
+                  F.max(F.when(F.col("kind") == "last", whole)).alias("_l")))
+    # one row per partition
+    over = edges.withColumn("_g", F.lead("_f").over(Window.orderBy("_f"))).where(F.col("_g").isNotNull())
+    over = over.select(*[F.col("_l")[c].alias(c) for c in _ROW], F.struct(*[F.col("_g")[c].alias(c) for c in _ROW]).alias("_n"))
     return inner.unionByName(over)
 
 
