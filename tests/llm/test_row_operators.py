@@ -64,6 +64,25 @@ def test_random_strings_and_exclusions():
     assert spans("ſecret=abcdefgh") == []  # only A-Z in either case
 
 
+def test_random_strings_of_letters_and_among_words():
+    enc = secret_scan._encoder(secret_scan.vocabulary_path())
+    spans = lambda t: [(k, t[s:e]) for s, k, e in secret_scan.find_spans([t], enc, 2.3)[0]]
+    words, rng = "com/documents/shared/folder/annual-report-presentation/", random.Random(2)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+                     "abcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (24, 40):
+            some = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(100)]
+            assert sum(spans(f"é {x} b") == [(3, x)] for x in some) >= 99
+            # the run as a whole, where that compresses badly too
+            assert sum(spans(f"é {words}{x} b") in ([(3, x)], [(3, words + x)]) for x in some) >= 99
+    x = "q9Xv27ZkP0mTz84LwBnR"
+    assert spans(f"é {words}{x}/presentation/of/documents") == [(3, x)]
+    assert spans(f"é {x}/password=abcdefgh") == [(3, x + "/"), (0, "password=abcdefgh")]
+    for ordinary in (f"{words}5f2d1b3c-9a8e-4c21-b0d7-0123456789ab", "ArrayIndexOutOfBoundsException", "MAX_CONNECTION_TIMEOUT",
+                     "a_b_c_d_e_f_g_h_1_2_3", "my-documents/password=abcdefgh"):
+        assert [s for s in spans(f"a {ordinary} b") if s[0] == 3] == []
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

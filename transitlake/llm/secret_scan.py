@@ -2,12 +2,16 @@
 
 Base spans come from three patterns (assignments, access keys, long lower-case
 hex runs).  The method adds spans of kind ``random``: runs of at least 16
-characters of ``[A-Za-z0-9+/_=-]`` that hold a letter and a digit and that the
-tiktoken vocabulary compresses badly (few characters per token), as text and
-ordinary names do not.  Known digests (hex of the common digest lengths,
-UUIDs) and identifiers (parts that are each only letters, or only digits,
-joined by ``_-/=+``; plain numbers) are excluded, and so is what a base span
-already covers.  Spans are code points, end exclusive.
+characters of ``[A-Za-z0-9+/_=-]`` that the tiktoken vocabulary compresses badly
+(few characters per token), as text and ordinary names do not.  What a base span
+covers is cut out of a run, and each rest of at least 16 characters is a run of
+its own.  A run is cut into parts at ``/_=-``; a part is ordinary if it holds no
+letter, is a known digest (hex of the common digest lengths, UUIDs), is one token,
+or has more characters per token than the limit (``+`` joins such pieces).  A run
+of ordinary parts is an identifier.  Any other is random as a whole if it
+compresses badly as a whole; else its stretches of parts that are not ordinary
+are (short single tokens and numbers within them go along), so that words around
+a random string do not hide it.  Spans are code points, end exclusive.
 
 Rows: null reads as empty and gives zero counts and an empty span list;
 repeated rows each give a row; whole texts are scanned, in slices of documents,
@@ -33,9 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 16
 
-DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+DIGEST = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
                     r"|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})")
-IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/=+-]+(?:[A-Za-z]+|[0-9]+))*[_/=+-]*|[_/=+-]*[0-9]*")
+PART = re.compile(rf"(?<![A-Za-z0-9+]){DIGEST.pattern}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
+MAX_INNER = 4  # longest single token or number that a stretch goes on over
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -76,13 +81,51 @@ def _runs(inside: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[long].tolist(), ends[long].tolist()))
 
 
-def _efficient(run: str, encoder, max_chars_per_token: float) -> bool:
-    """Ordinary to the vocabulary, or a known digest or identifier."""
-    if not (re.search("[A-Za-z]", run) and re.search("[0-9]", run)):
-        return True
-    if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
-        return True
-    return len(run) > max_chars_per_token * len(encoder.encode_ordinary(run))
+def _random_spans(run: str, encoder, max_chars_per_token: float) -> list[tuple[int, int]]:
+    """The random spans of a run: itself, or stretches of its parts."""
+    def tokens(text: str) -> int:
+        return len(encoder.encode_ordinary(text))
+
+    def efficient(text: str) -> bool:
+        return len(text) > max_chars_per_token * tokens(text)
+
+    def plain(piece: str) -> bool:
+        return not re.search("[A-Za-z]", piece) or tokens(piece) == 1 or efficient(piece)
+
+    if not re.search("[A-Za-z]", run):
+        return []
+    parts = [(m.start(), m.end(), bool(DIGEST.fullmatch(m[0])) or efficient(m[0]) or all(map(plain, m[0].split("+"))))
+             for m in PART.finditer(run)]
+    odd = [(s, e) for s, e, ordinary in parts if not ordinary]
+    if not odd:
+        return []
+    if not efficient(run):
+        return [(0, len(run))]
+    stretches, joined = [], False
+    for s, e, ordinary in parts:
+        if not ordinary and joined:
+            stretches[-1].append((s, e))
+        elif not ordinary:
+            stretches.append([(s, e)])
+        joined = not ordinary or joined and e - s <= MAX_INNER and plain(run[s:e])
+    out = []
+    for members in stretches:
+        start, end = members[0][0], members[-1][1]
+        if end - start >= MIN_RANDOM and not efficient(run[start:end]):
+            out.append((start, end))
+        else:
+            out += [(s, e) for s, e in members if e - s >= MIN_RANDOM]
+    return out
+
+
+def _rests(start: int, end: int, spans: list) -> list[tuple[int, int]]:
+    """What ``spans`` leave of [start, end), of at least MIN_RANDOM characters."""
+    out, at = [], start
+    for s, _, e in sorted(spans):
+        if e > at and s < end:
+            out.append((at, s))
+            at = e
+    return [(s, e) for s, e in [*out, (at, end)] if e - s >= MIN_RANDOM]
 
 
 def find_spans(texts: list[str], encoder, max_chars_per_token: float) -> list[list[tuple[int, int, str]]]:
@@ -107,14 +150,20 @@ def find_spans(texts: list[str], encoder, max_chars_per_token: float) -> list[li
     for run in _runs(HEX_TABLE[joined], MIN_HEX):
         doc, start, end = place(*run)
         found[doc].append((start, KINDS["hex"], end))
-    verdicts: dict[str, bool] = {}
+    verdicts: dict[str, list] = {}
+    base = [list(f) for f in found]
     for run in _runs(RANDOM_TABLE[joined], MIN_RANDOM):
-        chars = joined[run[0]:run[1]].tobytes().decode()
-        if chars not in verdicts:
-            verdicts[chars] = _efficient(chars, encoder, max_chars_per_token)
-        if not verdicts[chars]:
-            doc, start, end = place(*run)
-            if not any(s < end and start < e for s, _, e in found[doc]):
+        doc, (first, last) = int(np.searchsorted(offsets, run[0], "right")) - 1, run
+        chars, rests = joined[first:last].tobytes().decode(), [(0, last - first)]
+        if base[doc]:
+            _, start, end = place(first, last)
+            rests = [(s - start, e - start) for s, e in _rests(start, end, base[doc])]
+        for at, to in rests:
+            rest = chars[at:to]
+            if rest not in verdicts:
+                verdicts[rest] = _random_spans(rest, encoder, max_chars_per_token)
+            for s, e in verdicts[rest]:
+                _, start, end = place(first + at + s, first + at + e)
                 found[doc].append((start, KINDS["random"], end))
     return [sorted(f) for f in found]
 
