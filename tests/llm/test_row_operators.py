@@ -134,6 +134,27 @@ def test_pages(spark):
     assert html_mincut.extract(pages.where("false")).count() == 0
 
 
+def test_open_head_and_form_around_the_page():
+    body = ("<div id=menu><a href=a>A</a></div><div><p>This page has a long sentence in a paragraph, and it says more than "
+            "one thing.</p><p>And a second one, which follows it and ends as sentences do.</p></div>")
+    text = ("This page has a long sentence in a paragraph, and it says more than one thing.\n"
+            "And a second one, which follows it and ends as sentences do.")
+    article = "<article><h1>Head</h1><p>Short.</p><form><p>Your mail</p></form><p>Last.</p></article>"
+    for head in ("<html><head><title>T</title><meta charset=x><script>var a</script>", "<head><title>T</title>\n", "<head>"):
+        assert html_mincut.main_text(f"{head}<body>{body}") == text
+        assert html_mincut.main_text(f"{head}{body}") == text
+        assert html_mincut.main_text(f"{head}</head><body>{body}</body></html>") == text
+        assert html_mincut.main_text(f"{head}<body>{article}") == "Head\nShort.\nLast."
+    plain = "Words that stand right behind the head, without any tag, still are the text of the page."
+    assert html_mincut.main_text("<head><title>T</title>" + plain) == plain
+    for form in ("<form method=post id=aspnetForm><input type=hidden>", "<form><label>Search the site</label><select><option>x</select>"):
+        for end in ("</form>", ""):
+            assert html_mincut.main_text(f"<body>{form}{body}{end}</body>") == text
+            assert html_mincut.main_text(f"<body>{form}<div>{article}</div>{end}</body>") == "Head\nShort.\nLast."
+    assert html_mincut.main_text(f"<body>{body}<form><p>Please give us your mail address, we write once a month, not more.</p>"
+                                 "<button>Go</button></form>") == text
+
+
 def test_given_pages_give_their_article(spark):
     import html
     for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect():

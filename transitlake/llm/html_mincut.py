@@ -9,10 +9,13 @@ edges join blocks next to each other and blocks of one parent, weighted by how
 near they are in the DOM.  A minimum cut (max-flow by shortest augmenting
 paths) labels all blocks at once; the content side's text is the result.
 
-Scripts, styles, comments, forms, buttons and the page's head are never text.
-Some structure is certain (inside ``nav``, ``footer``, an advert's class name
-and the like) and gets a capacity no cut pays for, unless it stands inside the
-article.
+Scripts, styles, comments, buttons, form labels and the page's head are never
+text.  A head without its end tag ends where HTML says: at the first tag or text
+that cannot stand in it.  Some structure is certain (inside ``nav``, ``footer``,
+an advert's class name and the like) and gets a capacity no cut pays for, unless
+it stands inside the article.  So does a form, unless it is wrapped around
+content: around an article or main element, 50 words of prose, or half the prose
+of the article (else page) that it stands in.
 
 Rows: null or empty html gives an empty text; broken or unclosed markup is read
 as far as it goes; pages are worked through one by one within Arrow batches, so
@@ -37,9 +40,10 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body caption center d
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary
 table tbody td tfoot th thead title tr ul br""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED_TAGS = frozenset("""script style noscript template head title svg math canvas object iframe form button select
+DROPPED_TAGS = frozenset("""script style noscript template head title svg math canvas object iframe button select
 textarea option audio video map""".split())
 RAW_TAGS = frozenset("script style".split())
+HEAD_TAGS = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_TAGS = frozenset("nav footer header aside menu dialog".split())
@@ -53,10 +57,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}}
 SPACES = re.compile(r"\s+")
 HARD = 1000.0
+PROSE_WORDS, WRAPPED_WORDS = 10, 50  # of a block, of a form around content
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "content", "boiler", "dropped")
+    __slots__ = ("tag", "parent", "depth", "content", "boiler", "dropped", "form", "wraps")
 
     def __init__(self, tag: str, attrs: list, parent: "_Element | None"):
         self.tag, self.parent = tag, parent
@@ -76,7 +81,13 @@ class _Element:
         self.boiler = (up.boiler if up else 0) + (marked or named)
         if article and not marked and not (up and up.boiler):
             self.boiler = 0
-        self.dropped = (up.dropped if up else False) or tag in DROPPED_TAGS or hidden
+        self.form = self if tag == "form" else up.form if up else None
+        self.dropped = (up.dropped if up else False) or tag in DROPPED_TAGS or hidden \
+            or tag == "label" and self.form is not None
+        self.wraps = False  # of a form: stands around content
+        form = self.form if article and not self.dropped else None
+        while form is not None and not form.wraps:
+            form.wraps, form = True, form.parent.form
 
 
 class _Block:
@@ -99,6 +110,10 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self.block = None
+        if tag == "body":
+            self._close({"head"}, {"body"})
+        elif self.at.tag == "head" and tag not in HEAD_TAGS:
+            self._leave(self.at)
         if tag in CLOSES:
             self._close(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "tr"} - CLOSES[tag])
         if tag in BLOCK_TAGS and tag != "br":
@@ -141,6 +156,8 @@ class _Reader(HTMLParser):
             self._leave(at)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._leave(self.at)
         if self.at.dropped:
             return
         if self.block is None:
@@ -153,10 +170,32 @@ class _Reader(HTMLParser):
             self.block.linked += len(data)
 
 
+def _find_wrapping_forms(blocks: list[tuple[_Block, str]]):
+    """Mark the forms with much of the prose around or in them."""
+    if all(b.element.form is None for b, _ in blocks):
+        return
+    prose: dict[_Element, int] = {}
+    for b, text in blocks:
+        words = text.count(" ") + 1
+        if b.element.boiler or words < PROSE_WORDS or 2 * b.linked > len(text):
+            continue
+        at = b.element
+        while at is not None:
+            if at.tag == "form" or at.tag in CONTENT_TAGS or at.parent is None:
+                prose[at] = prose.get(at, 0) + words
+            at = at.parent
+    for form, words in prose.items():
+        if form.tag == "form":
+            scope = form.parent
+            while scope.parent is not None and scope.tag not in CONTENT_TAGS:
+                scope = scope.parent
+            form.wraps |= words >= WRAPPED_WORDS or 2 * words >= prose[scope]
+
+
 def _costs(block: _Block, text: str) -> tuple[float, float]:
     """Cost of calling the block boilerplate, cost of calling it content."""
     e = block.element
-    if e.boiler:
+    if e.boiler or e.form is not None and not e.form.wraps:
         return 0.0, HARD
     if e.content:
         return HARD if block.linked < len(text) or len(text) > 40 else 4.0, 0.5
@@ -224,6 +263,7 @@ def main_text(html: str, smoothness: float = 1.0) -> str:
     blocks = [(b, text) for b in reader.blocks if (text := SPACES.sub(" ", "".join(b.text)).strip())]
     if not blocks:
         return ""
+    _find_wrapping_forms(blocks)
     costs = [_costs(b, text) for b, text in blocks]
     edges, last_of = [], {}
     for i, (b, _) in enumerate(blocks):
