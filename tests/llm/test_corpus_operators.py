@@ -193,6 +193,22 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontamination.clean(no_docs, bench).count() == 0
 
 
+def test_leaks_far_from_the_items_fingerprint(spark):
+    rows, items = [], []
+    for i in range(1500):  # a short item cut off by the end of the text: 4 of 5 shingles
+        item = [f"a{i}x{j}" for j in range(9)]
+        items.append((i, " ".join(item)))
+        rows.append((i, "some words " + " ".join(item[:8])))
+    for i in range(1500, 1700):  # the end replaced by one repeated word: 89 of 111 shingles
+        item = [f"a{i}x{j}" for j in range(104)]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(item[:93] + [f"z{i}"] * 11)))
+    marked, found = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                                          spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_total) for r in marked.join(found, "__row").collect())
+    assert got == Counter((i, i, *((4, 5) if i < 1500 else (89, 111))) for i in range(1700))
+
+
 def test_window_fingerprints(spark):
     from pyspark.sql import functions as F
     rng = random.Random(0)

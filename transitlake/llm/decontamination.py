@@ -14,10 +14,12 @@ least ``min_similarity`` with the item.
    The 64 bits are cut into ``radius + 1`` blocks; two fingerprints within
    ``radius`` bits agree in a block at least, so an equality join on (item,
    block, bits) finds every one of them, and bit_count keeps exactly those.
-   The default radius is four standard deviations beyond what a similarity of
-   0.8 gives on average.
-3. Verification.  The weighted similarity is computed from the shingles'
-   words, not their hashes.
+   The radius decides no result: a fingerprint says nothing certain of the
+   similarity (few shingles, or one that is repeated, move many bits), so a
+   window beyond it is kept wherever its number of shared shingles, which is
+   at least what the multisets share, can still reach the similarity.
+3. Verification.  The weighted similarity of all these windows is computed
+   from the shingles' words, not their hashes, so that every leak is found.
 
 Words are runs of letters and digits, lower-cased.  Items of fewer than five
 words use shingles of all their words; items without words never match.
@@ -123,14 +125,18 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     starts = (shared.groupBy("__row", "item").agg(F.sort_array(F.collect_list("pos")).alias("at"))
               .join(sizes, "item").where(F.size("at") >= F.col("need"))
               .withColumn("starts", F.expr("transform(filter(sequence(0, size(at) - need), "
-                                           "j -> at[j + need - 1] < at[j] + m), j -> at[j])"))
+                                           "j -> at[j + need - 1] < at[j] + m), j -> named_struct('start', at[j], "
+                                           "'hits', size(filter(slice(at, j + 1, m), p -> p < at[j] + m))))"))
               .where(F.size("starts") > 0).select("__row", "item", "width", "m", "starts"))
     starts = write_table(starts, "leak-windows")
 
     windows = (texts.join(starts, "__row").select("__row", "item", "width", "m", "starts", words_of(F.col("__text")).alias("words"))
                .select("__row", "item", "width", F.expr(
-                   "transform(starts, s -> named_struct('start', s, 'window', slice(words, s + 1, m + width - 1)))").alias("w"))
-               .select("__row", "item", "width", F.explode_outer("w").alias("w")).select("__row", "item", "width", "w.*"))
+                   "transform(starts, s -> named_struct('start', s.start, 'hits', s.hits, "
+                   "'window', slice(words, s.start + 1, m + width - 1)))").alias("w"), "m")
+               .select("__row", "item", "width", "m", F.explode_outer("w").alias("w")).select("__row", "item", "width", "m", "w.*"))
+    total = F.col("m") + F.size("window") - F.col("width") + 1  # of the window's and the item's shingles
+    windows = windows.withColumn("reaches", F.col("hits") * F.lit(1 + min_similarity) >= total * F.lit(min_similarity) - 1e-6).drop("m", "hits")
     windows = write_table(windows.withColumn("fp", simhash(shingles(F.col("window"), F.col("width"), F.xxhash64))), "leak-fingerprints")
 
     index = known.select("item", simhash(F.col("hashes")).alias("item_fp"), "width").withColumn(
@@ -138,10 +144,11 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     near = (windows.select("__row", "item", "start", "fp", F.explode_outer(_blocks(F.col("fp"), radius)).alias("b"))
             .select("__row", "item", "start", "fp", "b.*").join(index, ["item", "block", "bits"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-            .select("__row", "item", "start").distinct())
+            .select("__row", "item", "start"))
+    checked = near.union(windows.where("reaches").select("__row", "item", "start")).distinct()
 
     text_of = lambda words: F.array_join(words, " ")
-    counted = (windows.join(near, ["__row", "item", "start"])
+    counted = (windows.join(checked, ["__row", "item", "start"])
                .select("__row", "item", "start", F.explode_outer(shingles(F.col("window"), F.col("width"), text_of)).alias("s"))
                .groupBy("__row", "item", "start", "s").agg(F.count(F.lit(1)).alias("n")))
     item_counts = (known.select("item", F.explode_outer(shingles(F.col("words"), F.col("width"), text_of)).alias("s"))
