@@ -84,3 +84,25 @@ def test_daily_counts_stream(spark):
     q.stop()
     got = spark.sql("SELECT sum(count) FROM tl_daily").first()[0]
     assert got == p.count()
+
+
+def test_boosted_models_are_fitted_at_their_configured_sizes(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from transitlake.operators import experiments as EX
+    from transitlake.operators import models as models_module
+    from transitlake.plans import extra_queries, model_queries
+    real, sizes = models_module.fit_ovr_gbt, []
+
+    def small(train, feats, label, **kw):
+        sizes.append(kw)
+        return real(train, feats[:3], label, **kw | dict(max_iter=1, max_depth=2))
+
+    monkeypatch.setattr(models_module, "fit_ovr_gbt", small)
+    assert model_queries.q_train_boosted_candidates(spark, SF_SMALL).count() == 1
+    assert sizes == [models_module.MODEL_PARAMS["lightgbm"]]
+    sizes.clear()
+    assert extra_queries.q_refit_balanced(spark, SF_SMALL).count() == 3
+    of = lambda *names: [tuple(kw[n] for n in names) for kw in sizes]
+    assert of("max_iter", "max_depth", "step_size") == [(100, 15, 0.1), (150, 15, 0.05)]
+    assert of("validation_fraction") == [(0.0,), (0.0,)]  # no early stop up to 10,000 rows
+    assert EX.EARLY_STOP_ROWS == 10_000

@@ -24,8 +24,18 @@ from transitlake.sources.materialize import materialize
 SURVEYS = ("KEPLER", "TESS")
 
 
-def _fit(train: DataFrame, feats, label, num_trees=100, max_depth=10):
-    return MD.fit_forest(train, feats, label, num_trees=num_trees, max_depth=max_depth)
+# K5 at the reference's size: every row and feature in each round, leaves of at
+# least 20 rows.  MLlib has no bound of 31 leaves, so depth 15 grows fuller trees.
+K5 = dict(max_iter=100, max_depth=15, step_size=0.1, subsampling=1.0, feature_subset="all", max_bins=255, min_leaf=20)
+K5_REFIT = K5 | dict(max_iter=150, step_size=0.05)
+EARLY_STOP_ROWS = 10_000  # more training rows than this: a tenth of them decides when to stop
+
+
+def _fit(train: DataFrame, feats, label, **fit_kw):
+    kw = K5 | fit_kw
+    if "validation_fraction" not in kw:
+        kw["validation_fraction"] = 0.1 if train.count() > EARLY_STOP_ROWS else 0.0
+    return MD.fit_ovr_gbt(train, feats, label, **kw)
 
 
 def _eval_row(model, test: DataFrame, label: str, **tags) -> DataFrame:
@@ -79,7 +89,7 @@ def refit_on_balanced(df: DataFrame, feats, label: str, base_survey: str = "TESS
     bal = materialize(capped_sample(df.where(F.col(MISSION) == target_survey).drop("is_train"),
                                     [label], cap), "exp_balanced")
     tsp = materialize(stratified_split(bal, target=label, test_size=0.3), "exp_refit")
-    m1 = _fit(tsp.where("is_train"), feats, label, **fit_kw)
+    m1 = _fit(tsp.where("is_train"), feats, label, **K5_REFIT | fit_kw)
     held_out = bsp.where(~F.col("is_train"))
     rows = [_eval_row(m0, held_out, label, experiment="base", eval_survey=base_survey),
             _eval_row(m1, tsp.where(~F.col("is_train")), label, experiment="refit_balanced",
