@@ -15,6 +15,7 @@ from transitlake.operators.unify import unify_by_mapping
 from transitlake.plans import oracle_sql as O
 from transitlake.plans.model_queries import LABEL, model_input
 from transitlake.plans.report_queries import PREDICTIONS
+from transitlake.schema import TOI_TO_KOI
 from transitlake.sources import fixtures as X
 from transitlake.sources.tables import read_table
 
@@ -55,13 +56,15 @@ WANTED = ["koi_period", "koi_depth", "koi_duration", "koi_prad", "koi_insol", "k
 
 
 def q_upload_mapping(spark, sf_dir):
-    """An uploaded KOI-named catalog mapped onto the unified names: auto
-    column mapping (B16: exact, else substring), select + rename (B17),
-    merged_ prefix (B18), UNKNOWN survey tag (B4).  koi_time0 has no
-    match and is skipped."""
-    koi = X.koi_catalog(spark, sf_dir).withColumnRenamed("kepid", "row_id")
-    up = prepare_upload(koi, wanted=WANTED)
-    return round_doubles(up)
+    """Both catalogs uploaded and mapped onto the unified names: the KOI-named
+    one by auto column mapping (B16: exact, else substring; koi_time0 has no
+    match and is skipped), the TOI-named one by the name pairs a user would
+    choose (B17); merged_ prefix (B18), UNKNOWN survey tag (B4), and each
+    upload's own first five columns as Original_* (B27)."""
+    koi = prepare_upload(X.koi_catalog(spark, sf_dir).withColumnRenamed("kepid", "row_id"), wanted=WANTED)
+    toi = X.toi_catalog(spark, sf_dir).withColumnRenamed("toi", "row_id")
+    chosen = {k: t for t, k in TOI_TO_KOI if k in WANTED and t in toi.columns}
+    return round_doubles(koi.unionByName(prepare_upload(toi, mapping=chosen), allowMissingColumns=True))
 
 
 SQL_UPLOAD_MAPPING = O.with_(O.CANDIDATES, """
@@ -70,8 +73,14 @@ SELECT row_id, round(merged_koi_period, 6) AS merged_koi_period,
   round(merged_koi_prad, 6) AS merged_koi_prad, round(merged_koi_insol, 6) AS merged_koi_insol,
   round(merged_koi_teq, 6) AS merged_koi_teq, round(merged_koi_steff, 6) AS merged_koi_steff,
   round(merged_koi_slogg, 6) AS merged_koi_slogg, round(merged_koi_srad, 6) AS merged_koi_srad,
-  'UNKNOWN' AS mission
-FROM candidates WHERE mission = 'KEPLER'""")
+  'UNKNOWN' AS mission, round(merged_ra, 6) AS "Original_ra", round(merged_dec, 6) AS "Original_dec",
+  CASE WHEN mission = 'KEPLER' THEN merged_koi_disposition END AS "Original_koi_disposition",
+  CASE WHEN mission = 'KEPLER' THEN round(merged_koi_period, 6) END AS "Original_koi_period",
+  CASE WHEN mission = 'KEPLER' THEN round(merged_koi_depth, 6) END AS "Original_koi_depth",
+  CASE WHEN mission = 'TESS' THEN disp_code END AS "Original_tfopwg_disp",
+  CASE WHEN mission = 'TESS' THEN round(merged_koi_period, 6) END AS "Original_pl_orbper",
+  CASE WHEN mission = 'TESS' THEN round(merged_koi_depth, 6) END AS "Original_pl_trandep"
+FROM candidates""")
 
 PARTY_MAP = [("c_custkey", "s_suppkey", "party_key"), ("c_name", "s_name", "party_name"),
              ("c_nationkey", "s_nationkey", "nation_key"), ("c_acctbal", "s_acctbal", "acct_balance")]
