@@ -69,13 +69,22 @@ def _cut(batch: pa.RecordBatch, start: int, stop: int, text: int):
     return part, [x or "" for x in part.column(text).to_pylist()]
 
 
+def own_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it
+    (Spark's names do not tell case apart)."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
               per_slice: Callable[[list[str]], list[pa.Array]], carry: list[str] | None = None) -> DataFrame:
     """``df``'s id (and ``carry`` columns), then the columns that ``per_slice``
     makes of each slice of texts.  One Arrow pass, no shuffle."""
     bounded_batches(df.sparkSession)
     keep = [id_col, *(carry or [])]
-    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"),
+    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias(own_name("__text", keep)),
                     *[F.col(c) for c in carry or []])
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     out_schema = f"{fields}, {schema}"

@@ -1,20 +1,20 @@
-"""Queries and oracle SQL of the operators of this subpackage."""
+"""Queries and oracle SQL of the operators of this subpackage.
 
-from __future__ import annotations
-
-import importlib
+All modules are imported when this one is, so that a library missing for any of
+them shows where this module is imported."""
 
-MODULES = ["sentencepiece_codec", "substring_dedup", "toxicity", "line_dedup", "url_filter", "secret_scan", "quality_ledger", "html_mincut",
-           "decontamination", "simhash_trie"]
+from __future__ import annotations
 
+from transitlake.llm import (collocations, decontamination, html_mincut, line_dedup, quality_classifier, quality_ledger, secret_scan,
+                             sentencepiece_codec, simhash_trie, substring_dedup, token_alignment, toxicity, url_filter)
 
-def _modules():
-    return [importlib.import_module(f"transitlake.llm.{m}") for m in MODULES]
+MODULES = [sentencepiece_codec, substring_dedup, toxicity, line_dedup, url_filter, secret_scan, quality_ledger, html_mincut,
+           decontamination, simhash_trie, token_alignment, quality_classifier, collocations]
 
 
 def all_queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def all_oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
