@@ -13,7 +13,7 @@
 3. Scores, cuts and containment are joins of the small tables of frequent
    groups.
 
-A block is a row: texts of one language, ``block_bytes`` in all, its relation
+A block is a row: texts of one language, about ``block_bytes`` in all, its relation
 as two sorted arrays and its distinct groups with their counts.  So what is
 shuffled for counting is one row per block and distinct group, however often a
 hot phrase occurs, and no table of groups is broadcast unless Spark measures it
@@ -38,13 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import bounded_batches, documents, write_table
+from transitlake.llm.common import bounded_batches, discard, documents, write_table
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BREAK = b"."
 # A-Z stay here (bytes.lower turns them), a break is a point, a tab a space
 NORMAL = bytes.maketrans(BREAKS + b"\t", BREAK * len(BREAKS) + b" ")
-RELATION = ("block long, lang string, owned int, pos array<int>, gid array<int>, "
+# gap: how far each occurrence's position lies behind the one before (mostly 1, so it packs to almost nothing)
+RELATION = ("block long, lang string, owned int, gap array<int>, gid array<int>, "
             "phrases array<string>, counts array<long>")
 FIELDS = [f.split()[0] for f in RELATION.split(", ")]
 SALTS = 64
@@ -82,13 +83,13 @@ def relation_of(own: bytes, context: bytes) -> dict:
     counts = np.bincount(codes[:owned], minlength=len(groups))
     if at_break >= 0:
         counts[at_break] = 0
-    return {"owned": owned, "pos": pos.astype("i4"), "gid": codes[pos].astype("i4"),
-            "phrases": groups.cast(pa.string()), "counts": counts}
+    return {"owned": owned, "gap": np.diff(pos, prepend=0), "gid": codes[pos], "phrases": groups.cast(pa.string()), "counts": counts}
 
 
-def extended(owned: int, pos: np.ndarray, gid: np.ndarray, kept: np.ndarray, phrases: pa.Array) -> dict | None:
+def extended(owned: int, gap: np.ndarray, gid: np.ndarray, kept: np.ndarray, phrases: pa.Array) -> dict | None:
     """Merge-join of a relation, cut to its ``kept`` groups (their ``phrases``
     beside), with itself at the next position; None if nothing is adjacent."""
+    pos = np.cumsum(gap, dtype="i8")
     place = np.full(int(gid.max(initial=-1)) + 2, -1, "i8")
     place[kept] = np.arange(len(kept))
     group = place[gid]
@@ -101,14 +102,14 @@ def extended(owned: int, pos: np.ndarray, gid: np.ndarray, kept: np.ndarray, phr
     joined = pc.binary_join_element_wise(phrases.take(pa.array(pair // len(kept))),
                                          last_words.take(pa.array(pair % len(kept))), " ")
     counts = np.bincount(gid[pos[first] < owned], minlength=len(pair))
-    return {"owned": owned, "pos": pos[first], "gid": gid.astype("i4"), "phrases": joined, "counts": counts}
+    return {"owned": owned, "gap": np.diff(pos[first], prepend=0), "gid": gid, "phrases": joined, "counts": counts}
 
 
 def _rows(blocks: list[tuple[int, str, dict]]) -> pa.RecordBatch:
     """Relations as one batch of the schema RELATION."""
     lists = {}
-    for name, kind in (("pos", pa.int32()), ("gid", pa.int32()), ("phrases", pa.string()), ("counts", pa.int64())):
-        parts = [pa.array(r[name], kind) if not isinstance(r[name], pa.Array) else r[name] for _, _, r in blocks]
+    for name, kind in (("gap", pa.int32()), ("gid", pa.int32()), ("phrases", pa.string()), ("counts", pa.int64())):
+        parts = [r[name] if isinstance(r[name], pa.Array) else pa.array(r[name]).cast(kind) for _, _, r in blocks]
         ends = np.cumsum([0, *map(len, parts)]).astype("i4")
         lists[name] = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts))
     return pa.RecordBatch.from_arrays(
@@ -123,13 +124,18 @@ def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, b
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
         held: dict[str, list[bytes]] = {}
-        size = 0
+        sizes: dict[str, int] = {}
 
         def block(lang, own, context=b""):
             nonlocal made
             made += 1
             return _rows([((task << 33) + made, lang, relation_of(own, context))])
 
+        def flush(langs):
+            for key in langs:
+                sizes.pop(key)
+                yield block(key, BREAK.join(held.pop(key)))
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode().lower().translate(NORMAL)
@@ -137,13 +143,12 @@ def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, b
                 for own, context in long:
                     yield block(lang, own, context)
                 held.setdefault(lang, []).append(rest)
-                size += len(rest)
-                if size >= block_bytes:
-                    for key, texts in held.items():
-                        yield block(key, BREAK.join(texts))
-                    held, size = {}, 0
-        for key, texts in held.items():
-            yield block(key, BREAK.join(texts))
+                sizes[lang] = sizes.get(lang, 0) + len(rest) + 64
+                if sizes[lang] >= block_bytes:
+                    yield from flush([lang])
+            if sum(sizes.values()) >= 4 * block_bytes:
+                yield from flush(list(sizes))
+        yield from flush(list(sizes))
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     return df.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RELATION)
@@ -166,15 +171,15 @@ def extend(relation: DataFrame, table: DataFrame) -> DataFrame:
     ``table``, then the merge-join of adjacent positions."""
     kept = (groups(relation).join(table.select("lang", "phrase"), ["lang", "phrase"])
             .groupBy("block").agg(F.collect_list(F.struct("gid", "phrase")).alias("kept")))
-    rows = relation.select("block", "lang", "owned", "pos", "gid").join(kept, "block")
+    rows = relation.select("block", "lang", "owned", "gap", "gid").join(kept, "block")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 block, lang, owned = (batch.column(c)[i].as_py() for c in range(3))
-                pos, gid = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                gap, gid = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
                 keep = batch.column(5)[i].values
-                made = extended(owned, pos, gid, keep.field(0).to_numpy(), keep.field(1))
+                made = extended(owned, gap, gid, keep.field(0).to_numpy(), keep.field(1))
                 if made:
                     yield _rows([(block, lang, made)])
 
@@ -192,8 +197,10 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     for k in range(1, max_words + 1):
         table = write_table(frequent(relation, min_count), f"setm-frequent-{k}")
         tables.append(table.select("lang", "phrase", F.lit(k).alias("n_words"), "f"))
-        if k < max_words:
-            relation = write_table(extend(relation, table), f"setm-{k + 1}")
+        if k == 1:
+            words = write_table(words, "setm-words")
+        done, relation = relation, write_table(extend(relation, table), f"setm-{k + 1}") if k < max_words else None
+        discard(done)
     return reduce(DataFrame.union, tables), words
 
 

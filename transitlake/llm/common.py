@@ -38,6 +38,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table of ``write_table`` that nothing reads any
+    more: all that was made of it has been written itself."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts of at most BATCH_ROWS rows and about
     BATCH_BYTES, unless the session already asks for smaller ones."""
