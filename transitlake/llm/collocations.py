@@ -13,8 +13,8 @@
 3. Scores, cuts and containment are joins of the small tables of frequent
    groups.
 
-A block is a row: texts of one language, about ``block_bytes`` in all, its relation
-as two sorted arrays and its distinct groups with their counts.  So what is
+A block is a row: texts of one language, about ``block_bytes`` in all, its relation,
+sorted and packed, and its distinct groups with their counts.  So what is
 shuffled for counting is one row per block and distinct group, however often a
 hot phrase occurs, and no table of groups is broadcast unless Spark measures it
 below its own bound.  A text longer than a block is cut between pieces, a piece
@@ -44,9 +44,8 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 BREAK = b"."
 # A-Z stay here (bytes.lower turns them), a break is a point, a tab a space
 NORMAL = bytes.maketrans(BREAKS + b"\t", BREAK * len(BREAKS) + b" ")
-# gap: how far each occurrence's position lies behind the one before (mostly 1, so it packs to almost nothing)
-RELATION = ("block long, lang string, owned int, gap array<int>, gid array<int>, "
-            "phrases array<string>, counts array<long>")
+# occurrences: the sorted relation of a block, positions (as gaps, mostly 1) and groups, see ``packed``
+RELATION = "block long, lang string, owned int, occurrences binary, phrases array<string>, counts array<long>"
 FIELDS = [f.split()[0] for f in RELATION.split(", ")]
 SALTS = 64
 
@@ -70,6 +69,21 @@ def windows(data: bytes, size: int, context: int) -> Iterator[tuple[bytes, bytes
     yield data[start:], b""
 
 
+def packed(pos: np.ndarray, gid: np.ndarray) -> bytes:
+    """A relation in a fraction of its size: gaps between positions and groups
+    as 32-bit numbers, byte plane by byte plane, compressed."""
+    both = np.concatenate([np.diff(pos, prepend=0), gid]).astype("<i4")
+    planes = np.ascontiguousarray(both.view("u1").reshape(-1, 4).T)
+    return len(planes[0]).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), "u1").reshape(4, n)
+    gap, gid = np.ascontiguousarray(planes.T).view("<i4").reshape(2, -1)
+    return np.cumsum(gap, dtype="i8"), gid
+
+
 def relation_of(own: bytes, context: bytes) -> dict:
     """The sorted occurrence relation of one block: positions, groups, and per
     group its word and how often it occurs among the block's own words."""
@@ -83,13 +97,13 @@ def relation_of(own: bytes, context: bytes) -> dict:
     counts = np.bincount(codes[:owned], minlength=len(groups))
     if at_break >= 0:
         counts[at_break] = 0
-    return {"owned": owned, "gap": np.diff(pos, prepend=0), "gid": codes[pos], "phrases": groups.cast(pa.string()), "counts": counts}
+    return {"owned": owned, "occurrences": packed(pos, codes[pos]), "phrases": groups.cast(pa.string()), "counts": counts}
 
 
-def extended(owned: int, gap: np.ndarray, gid: np.ndarray, kept: np.ndarray, phrases: pa.Array) -> dict | None:
+def extended(owned: int, occurrences: bytes, kept: np.ndarray, phrases: pa.Array) -> dict | None:
     """Merge-join of a relation, cut to its ``kept`` groups (their ``phrases``
     beside), with itself at the next position; None if nothing is adjacent."""
-    pos = np.cumsum(gap, dtype="i8")
+    pos, gid = unpacked(occurrences)
     place = np.full(int(gid.max(initial=-1)) + 2, -1, "i8")
     place[kept] = np.arange(len(kept))
     group = place[gid]
@@ -102,19 +116,20 @@ def extended(owned: int, gap: np.ndarray, gid: np.ndarray, kept: np.ndarray, phr
     joined = pc.binary_join_element_wise(phrases.take(pa.array(pair // len(kept))),
                                          last_words.take(pa.array(pair % len(kept))), " ")
     counts = np.bincount(gid[pos[first] < owned], minlength=len(pair))
-    return {"owned": owned, "gap": np.diff(pos[first], prepend=0), "gid": gid, "phrases": joined, "counts": counts}
+    return {"owned": owned, "occurrences": packed(pos[first], gid), "phrases": joined, "counts": counts}
 
 
 def _rows(blocks: list[tuple[int, str, dict]]) -> pa.RecordBatch:
     """Relations as one batch of the schema RELATION."""
     lists = {}
-    for name, kind in (("gap", pa.int32()), ("gid", pa.int32()), ("phrases", pa.string()), ("counts", pa.int64())):
+    for name, kind in (("phrases", pa.string()), ("counts", pa.int64())):
         parts = [r[name] if isinstance(r[name], pa.Array) else pa.array(r[name]).cast(kind) for _, _, r in blocks]
         ends = np.cumsum([0, *map(len, parts)]).astype("i4")
         lists[name] = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts))
     return pa.RecordBatch.from_arrays(
         [pa.array([b for b, _, _ in blocks], pa.int64()), pa.array([g for _, g, _ in blocks], pa.string()),
-         pa.array([r["owned"] for _, _, r in blocks], pa.int32()), *lists.values()], names=FIELDS)
+         pa.array([r["owned"] for _, _, r in blocks], pa.int32()),
+         pa.array([r["occurrences"] for _, _, r in blocks], pa.binary()), *lists.values()], names=FIELDS)
 
 
 def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, block_bytes: int) -> DataFrame:
@@ -146,7 +161,7 @@ def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, b
                 sizes[lang] = sizes.get(lang, 0) + len(rest) + 64
                 if sizes[lang] >= block_bytes:
                     yield from flush([lang])
-            if sum(sizes.values()) >= 4 * block_bytes:
+            if sum(sizes.values()) >= 3 * block_bytes:
                 yield from flush(list(sizes))
         yield from flush(list(sizes))
 
@@ -171,15 +186,14 @@ def extend(relation: DataFrame, table: DataFrame) -> DataFrame:
     ``table``, then the merge-join of adjacent positions."""
     kept = (groups(relation).join(table.select("lang", "phrase"), ["lang", "phrase"])
             .groupBy("block").agg(F.collect_list(F.struct("gid", "phrase")).alias("kept")))
-    rows = relation.select("block", "lang", "owned", "gap", "gid").join(kept, "block")
+    rows = relation.select("block", "lang", "owned", "occurrences").join(kept, "block")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, lang, owned = (batch.column(c)[i].as_py() for c in range(3))
-                gap, gid = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
-                keep = batch.column(5)[i].values
-                made = extended(owned, gap, gid, keep.field(0).to_numpy(), keep.field(1))
+                block, lang, owned, occurrences = (batch.column(c)[i].as_py() for c in range(4))
+                keep = batch.column(4)[i].values
+                made = extended(owned, occurrences, keep.field(0).to_numpy(), keep.field(1))
                 if made:
                     yield _rows([(block, lang, made)])
 
@@ -187,19 +201,19 @@ def extend(relation: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100,
-                     max_words: int = 5, block_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+                     max_words: int = 5, block_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases of up to ``max_words`` words
     that occur ``min_count`` times or more, and (lang, n) of all words."""
-    relation = write_table(word_relation(df, text_col, lang_col, max_words, block_bytes), "setm-1")
+    relation = write_table(word_relation(df, text_col, lang_col, max_words, block_bytes), "setm-1", "zstd")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     words = relation.groupBy("lang").agg(F.sum(total).alias("n"))
     tables = []
     for k in range(1, max_words + 1):
-        table = write_table(frequent(relation, min_count), f"setm-frequent-{k}")
+        table = write_table(frequent(relation, min_count), f"setm-frequent-{k}", "zstd")
         tables.append(table.select("lang", "phrase", F.lit(k).alias("n_words"), "f"))
         if k == 1:
             words = write_table(words, "setm-words")
-        done, relation = relation, write_table(extend(relation, table), f"setm-{k + 1}") if k < max_words else None
+        done, relation = relation, write_table(extend(relation, table), f"setm-{k + 1}", "zstd") if k < max_words else None
         discard(done)
     return reduce(DataFrame.union, tables), words
 

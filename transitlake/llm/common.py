@@ -23,7 +23,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and reread it:
     lineage is cut, an executor lost later costs only a reread, and the shuffle
     files behind the table are dropped as soon as it is written."""
@@ -32,7 +32,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
