@@ -222,14 +222,14 @@ def plain_collocations(rows, min_count, max_words, top):
     return sorted(ranked)
 
 
-@pytest.mark.parametrize("min_count,block", [(2, 1 << 20), (3, 400), (5, 1000)])
-def test_collocations_equal_the_plain_ones(spark, edge_docs, min_count, block):
+@pytest.mark.parametrize("min_count,block,max_broadcast", [(2, 1 << 20, 0), (3, 400, 1 << 20), (5, 1000, 0)])
+def test_collocations_equal_the_plain_ones(spark, edge_docs, min_count, block, max_broadcast):
     made = [(lang, text) for lang in ("en", None, "und", "") for text in
             ("New York, new york\tcity hall. a a a a a b! New York city\x0bof the city hall", "of the city hall of the\r\nnew york",
              "word " * 30, "a.b.a.b", "É é a é")] * 3
     rows = made + [(r.lang, r.text) for r in edge_docs.collect()] * 2
     df = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit(1) for c in ("block", "phrase", "f")}).repartition(3)
-    got = collocations.top_collocations(df, top=50, min_count=min_count, block_bytes=block)
+    got = collocations.top_collocations(df, top=50, min_count=min_count, block_bytes=block, max_broadcast=max_broadcast)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, min_count, 5, 50)
 

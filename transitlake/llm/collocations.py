@@ -6,18 +6,20 @@
    through a block of texts and every piece break takes one, so neighbours in
    a piece are exactly the occurrences at adjacent positions.
 2. Per length: occurrences are counted by group (phrase) within a block, then
-   over the corpus; groups below ``min_count`` are dropped from the relation by
-   a semi-join; the rest is merge-joined with itself at the next position,
-   which gives the relation of the next length.  (A phrase is as frequent as
-   ``min_count`` only if its beginning and its end are.)
+   over the corpus; the relation is cut to the groups that occur ``min_count``
+   times or more by a semi-join and written; and it is merge-joined at the next
+   position: words with every following word, longer phrases, which overlap in
+   all but a word, with themselves.  (A phrase is frequent only if its beginning
+   and its end are.)
 3. Scores, cuts and containment are joins of the small tables of frequent
    groups.
 
 A block is a row: texts of one language, about ``block_bytes`` in all, its relation,
 sorted and packed, and its distinct groups with their counts.  So what is
 shuffled for counting is one row per block and distinct group, however often a
-hot phrase occurs, and no table of groups is broadcast unless Spark measures it
-below its own bound.  A text longer than a block is cut between pieces, a piece
+hot phrase occurs.  The frequent groups reach the blocks as a broadcast where
+their measured size is at most ``max_broadcast`` bytes, else by a shuffled join of
+the blocks' groups; both give the same relation.  A text longer than a block is cut between pieces, a piece
 longer than that between words, with the next ``max_words - 1`` words as
 context that is matched but not counted.
 
@@ -45,7 +47,8 @@ BREAK = b"."
 # A-Z stay here (bytes.lower turns them), a break is a point, a tab a space
 NORMAL = bytes.maketrans(BREAKS + b"\t", BREAK * len(BREAKS) + b" ")
 # occurrences: the sorted relation of a block, positions (as gaps, mostly 1) and groups, see ``packed``
-RELATION = "block long, lang string, owned int, occurrences binary, phrases array<string>, counts array<long>"
+# kept: the groups numbered below it are known as frequent
+RELATION = "block long, lang string, owned int, kept int, occurrences binary, phrases array<string>, counts array<long>"
 FIELDS = [f.split()[0] for f in RELATION.split(", ")]
 SALTS = 64
 
@@ -97,39 +100,51 @@ def relation_of(own: bytes, context: bytes) -> dict:
     counts = np.bincount(codes[:owned], minlength=len(groups))
     if at_break >= 0:
         counts[at_break] = 0
-    return {"owned": owned, "occurrences": packed(pos, codes[pos]), "phrases": groups.cast(pa.string()), "counts": counts}
-
-
-def extended(owned: int, occurrences: bytes, kept: np.ndarray, phrases: pa.Array) -> dict | None:
-    """Merge-join of a relation, cut to its ``kept`` groups (their ``phrases``
-    beside), with itself at the next position; None if nothing is adjacent."""
-    pos, gid = unpacked(occurrences)
-    place = np.full(int(gid.max(initial=-1)) + 2, -1, "i8")
-    place[kept] = np.arange(len(kept))
-    group = place[gid]
-    pos, group = pos[group >= 0], group[group >= 0]
-    first = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    return {"owned": owned, "kept": 0, "occurrences": packed(pos, codes[pos]), "phrases": groups.cast(pa.string()), "counts": counts}
+
+
+def restricted(row: dict, frequent: np.ndarray, drop: bool) -> dict:
+    """A relation whose frequent groups come first; ``drop`` the others."""
+    order = np.argsort(~frequent, kind="stable")
+    place = np.empty(len(order), "i8")
+    place[order] = np.arange(len(order))
+    kept = int(frequent.sum())
+    pos, gid = unpacked(row["occurrences"])
+    gid = place[gid]
+    if drop:
+        pos, gid, order = pos[gid < kept], gid[gid < kept], order[:kept]
+    return row | {"kept": kept, "occurrences": packed(pos, gid), "phrases": row["phrases"].take(pa.array(order)), "counts": row["counts"][order]}
+
+
+def extended(row: dict) -> dict | None:
+    """Merge-join of a relation with itself at the next position, the first
+    occurrence in a frequent group; None if there is none."""
+    (pos, gid), phrases, n = unpacked(row["occurrences"]), row["phrases"], len(row["phrases"])
+    first = np.flatnonzero((pos[1:] == pos[:-1] + 1) & (gid[:-1] < row["kept"]))
     if not len(first):
         return None
-    pair, gid = np.unique(group[first] * len(kept) + group[first + 1], return_inverse=True)
+    pair, made = np.unique(gid[first].astype("i8") * n + gid[first + 1], return_inverse=True)
     last_words = pc.replace_substring_regex(phrases, "^.* ", "")
-    joined = pc.binary_join_element_wise(phrases.take(pa.array(pair // len(kept))),
-                                         last_words.take(pa.array(pair % len(kept))), " ")
-    counts = np.bincount(gid[pos[first] < owned], minlength=len(pair))
-    return {"owned": owned, "occurrences": packed(pos[first], gid), "phrases": joined, "counts": counts}
+    joined = pc.binary_join_element_wise(phrases.take(pa.array(pair // n)), last_words.take(pa.array(pair % n)), " ")
+    counts = np.bincount(made[pos[first] < row["owned"]], minlength=len(pair))
+    return row | {"kept": 0, "occurrences": packed(pos[first], made), "phrases": joined, "counts": counts}
 
 
-def _rows(blocks: list[tuple[int, str, dict]]) -> pa.RecordBatch:
-    """Relations as one batch of the schema RELATION."""
-    lists = {}
-    for name, kind in (("phrases", pa.string()), ("counts", pa.int64())):
-        parts = [r[name] if isinstance(r[name], pa.Array) else pa.array(r[name]).cast(kind) for _, _, r in blocks]
-        ends = np.cumsum([0, *map(len, parts)]).astype("i4")
-        lists[name] = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _, _ in blocks], pa.int64()), pa.array([g for _, g, _ in blocks], pa.string()),
-         pa.array([r["owned"] for _, _, r in blocks], pa.int32()),
-         pa.array([r["occurrences"] for _, _, r in blocks], pa.binary()), *lists.values()], names=FIELDS)
+def _batch(row: dict) -> pa.RecordBatch:
+    """A relation as a batch of the schema RELATION."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    kinds = {"block": pa.int64(), "lang": pa.string(), "owned": pa.int32(), "kept": pa.int32(), "occurrences": pa.binary()}
+    return pa.RecordBatch.from_arrays([*(pa.array([row[c]], k) for c, k in kinds.items()), one(row["phrases"]),
+                                       one(pa.array(row["counts"], pa.int64()))], names=FIELDS)
+
+
+def _relations(batches) -> Iterator[tuple[dict, pa.RecordBatch]]:
+    """The relations of batches, each with its batch of one row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            row = {c: one.column(c)[0].as_py() for c in FIELDS[:5]}
+            yield row | {"phrases": one.column("phrases")[0].values, "counts": one.column("counts")[0].values.to_numpy()}, one
 
 
 def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, block_bytes: int) -> DataFrame:
@@ -144,7 +159,7 @@ def word_relation(df: DataFrame, text_col: str, lang_col: str, max_words: int, b
         def block(lang, own, context=b""):
             nonlocal made
             made += 1
-            return _rows([((task << 33) + made, lang, relation_of(own, context))])
+            return _batch({"block": (task << 33) + made, "lang": lang} | relation_of(own, context))
 
         def flush(langs):
             for key in langs:
@@ -181,40 +196,61 @@ def frequent(relation: DataFrame, min_count: int) -> DataFrame:
     return groups(relation).groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
 
 
-def extend(relation: DataFrame, table: DataFrame) -> DataFrame:
-    """The relation of the next length: semi-join with the frequent groups of
-    ``table``, then the merge-join of adjacent positions."""
-    kept = (groups(relation).join(table.select("lang", "phrase"), ["lang", "phrase"])
-            .groupBy("block").agg(F.collect_list(F.struct("gid", "phrase")).alias("kept")))
-    rows = relation.select("block", "lang", "owned", "occurrences").join(kept, "block")
+def semi_join(relation: DataFrame, table: DataFrame, drop: bool, max_broadcast: int) -> DataFrame:
+    """The relation with the groups of ``table`` first; ``drop`` the others."""
+    size = table.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 8)).first()[0] or 0
+    if size <= max_broadcast:
+        local = table.select("lang", "phrase").toArrow()
+        langs = local.column("lang").unique().to_pylist()
+        known = relation.sparkSession.sparkContext.broadcast(
+            {g: local.filter(pc.equal(local.column("lang"), g)).column("phrase").combine_chunks() for g in langs})
+
+        def look_up(batches):
+            none = pa.array([], pa.string())
+            for row, _ in _relations(batches):
+                frequent = pc.is_in(row["phrases"], value_set=known.value.get(row["lang"], none))
+                yield _batch(restricted(row, frequent.to_numpy(zero_copy_only=False), drop))
+
+        return relation.mapInArrow(look_up, RELATION)
+    found = (groups(relation).join(table.select("lang", "phrase"), ["lang", "phrase"])
+             .groupBy("block").agg(F.collect_list("gid").alias("found")))
 
+    def restrict(batches):
+        for row, one in _relations(batches):
+            frequent = np.zeros(len(row["phrases"]), bool)
+            if one.column("found")[0].is_valid:
+                frequent[one.column("found")[0].values.to_numpy()] = True
+            yield _batch(restricted(row, frequent, drop))
+
+    return relation.join(found, "block", "left").select(*FIELDS, "found").mapInArrow(restrict, RELATION)
+
+
+def merge_join(relation: DataFrame) -> DataFrame:
+    """The occurrences of the next length, not counted yet."""
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, lang, owned, occurrences = (batch.column(c)[i].as_py() for c in range(4))
-                keep = batch.column(4)[i].values
-                made = extended(owned, occurrences, keep.field(0).to_numpy(), keep.field(1))
-                if made:
-                    yield _rows([(block, lang, made)])
+        for row, _ in _relations(batches):
+            if longer := extended(row):
+                yield _batch(longer)
 
-    return rows.mapInArrow(run, RELATION)
+    return relation.mapInArrow(run, RELATION)
 
 
-def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100,
-                     max_words: int = 5, block_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, max_words: int = 5,
+                     block_bytes: int = 3 << 20, max_broadcast: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases of up to ``max_words`` words
     that occur ``min_count`` times or more, and (lang, n) of all words."""
-    relation = write_table(word_relation(df, text_col, lang_col, max_words, block_bytes), "setm-1", "zstd")
+    first = occurrences = write_table(word_relation(df, text_col, lang_col, max_words, block_bytes), "setm", "zstd")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    words = relation.groupBy("lang").agg(F.sum(total).alias("n"))
-    tables = []
+    words = write_table(first.groupBy("lang").agg(F.sum(total).alias("n")), "setm-words")
+    tables, read = [], first
     for k in range(1, max_words + 1):
-        table = write_table(frequent(relation, min_count), f"setm-frequent-{k}", "zstd")
+        table = write_table(frequent(occurrences, min_count), f"setm-frequent-{k}", "zstd")
         tables.append(table.select("lang", "phrase", F.lit(k).alias("n_words"), "f"))
-        if k == 1:
-            words = write_table(words, "setm-words")
-        done, relation = relation, write_table(extend(relation, table), f"setm-{k + 1}", "zstd") if k < max_words else None
-        discard(done)
+        if k < max_words:
+            relation = write_table(semi_join(occurrences, table, k > 1, max_broadcast), f"setm-{k}", "zstd")
+            occurrences = merge_join(relation)
+        discard(read)
+        read = relation
     return reduce(DataFrame.union, tables), words
 
 
