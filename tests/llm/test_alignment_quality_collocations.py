@@ -135,7 +135,7 @@ def test_quality_tells_held_out_labels_apart(spark):
 
 
 def test_quality_learns_from_permitted_rows_only(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs = quality_classifier.vectors(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
     used = quality_classifier.training_rows(docs, labels).collect()
     assert used and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in used)
@@ -150,7 +150,7 @@ def test_margin_is_the_difference_of_normal_log_densities(spark):
     y = (np.arange(400) % 4 == 0).astype(int)
     x[y == 1] += 1.5
     fold = np.arange(400) % 3
-    df = spark.createDataFrame([(int(f), int(c), v.tolist()) for f, c, v in zip(fold, y, x)], "fold int, quality int, x array<double>").repartition(5)
+    df = spark.createDataFrame([(int(f), int(c), v.tolist()) for f, c, v in zip(fold, y, x)], "fold int, quality int, __x array<double>").repartition(5)
     moments = quality_classifier.class_moments(df)
     to_pooled, to_diagonal = 0.3, 0.1
     model = quality_classifier.discriminant(moments, [0, 1, 2], (to_pooled, to_diagonal))
@@ -177,16 +177,17 @@ def test_text_vectors_do_not_depend_on_the_slice():
 
 
 def test_quality_of_edge_rows(spark, edge_docs, no_docs):
-    labelled = edge_docs.select("doc_id", "text", F.lit(1).alias("quality"))
-    assert {r["__score"] for r in quality_classifier.fit(labelled).score(edge_docs).collect()} == {1.0}
-    assert {r["__score"] for r in quality_classifier.fit(labelled.where("false")).score(edge_docs).collect()} == {0.0}
-    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    edge, none = quality_classifier.vectors(edge_docs), quality_classifier.vectors(no_docs)
+    labelled = edge.withColumn("quality", F.lit(1))
+    assert {r["__score"] for r in quality_classifier.fit(labelled).score(edge).collect()} == {1.0}
+    assert {r["__score"] for r in quality_classifier.fit(labelled.where("false")).score(edge).collect()} == {0.0}
+    docs = quality_classifier.vectors(spark.read.parquet(f"{SF_MID}/documents.parquet"))
     model = quality_classifier.fit(quality_classifier.training_rows(docs, spark.read.parquet(f"{SF_MID}/labels.parquet")))
-    clash = edge_docs.withColumns({c: F.lit("own") for c in ("__text", "__score", "x", "fold", "quality")})
-    rows = model.score(clash, carry=["__text", "__score", "x"])
-    assert rows.columns == ["doc_id", "__text", "x", "__score"] and rows.count() == 16
+    clash = edge_docs.withColumns({c: F.lit("own") for c in ("__text", "__score", "__x", "fold", "quality")})
+    rows = model.score(quality_classifier.vectors(clash, carry=["__text", "__score", "__x", "fold"]))
+    assert rows.columns == ["doc_id", "__text", "fold", "__score"] and rows.count() == 16
     assert rows.where("__score is null or __score < 0 or __score > 1").count() == 0 and rows.where("__text = 'own'").count() == 16
-    assert model.score(no_docs).count() == 0
+    assert model.score(none).count() == 0
 
 
 # --- operator 13 -----------------------------------------------------------

@@ -14,8 +14,9 @@ sums of its rows, their vectors and the vectors' products, added up in the
 tasks and then per fold.  Three folds by hash of the id give the amount of
 shrinkage and the temperature: of a fixed grid the pair with the least log loss
 of each fold under the other folds' moments.  The driver receives these sums,
-their number fixed by the length of the vector.  Scoring is one pass over all
-texts without a shuffle.
+their number fixed by the length of the vector.  Every text is read once:
+its vector is written, joined with its label for fitting (vectors are shuffled,
+never texts, and by the same kind of join at every size) and scored.
 
 Rows: null texts are empty; an empty text gets the score of its vector (all
 counts zero) like any other.  Labels that are null or neither 0 nor 1 are not
@@ -124,30 +125,38 @@ class QualityModel:
             return np.full(len(x), self.prior)
         return 1 / (1 + np.exp(-np.clip(self.temperature * self.margin(x), -500, 500)))
 
-    def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-        """id, ``carry``, __score: probability of label 1.  A carried column
-        named __score gives way to it."""
-        carry = [c for c in carry or [] if c != "__score"]
-        return map_texts(df, id_col, text_col, "__score double",
-                         lambda texts: [pa.array(self.probability(text_vectors(texts)), pa.float64())], carry)
+    def score(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` with __score, the probability of label 1, for __x.  A
+        column of that name gives way to it."""
+        src = vectors.drop("__score")
+        names = [*(c for c in src.columns if c != "__x"), "__score"]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__x"), "__score double"])
 
+        def run(batches):
+            for batch in batches:
+                kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__x"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(self.probability(_column(batch, "__x")), pa.float64())], names=names)
 
-def vectors(labelled: DataFrame, seed: int) -> DataFrame:
-    """``labelled``: doc_id, text, quality -> fold, quality, x (one row each)."""
-    rows = labelled.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(FOLDS)).cast("int"))
+        return src.mapInArrow(run, schema)
 
+
+def vectors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id, ``carry`` and the text's vector __x, written as a table.  A carried
+    column of that name gives way to it."""
     def run(texts):
         x = text_vectors(texts)
         ends = pa.array(np.arange(len(x) + 1, dtype="i4") * x.shape[1])
         return [pa.ListArray.from_arrays(ends, pa.array(x.ravel()))]
 
-    return map_texts(rows, "doc_id", "text", "x array<double>", run, carry=["quality", "fold"]).drop("doc_id")
+    return write_table(map_texts(df, id_col, text_col, "__x array<double>", run, [c for c in carry or [] if c != "__x"]), "quality-vectors")
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = batch.column(batch.schema.get_field_index("x"))
-    return (batch.column(batch.schema.get_field_index("fold")).to_numpy(), batch.column(batch.schema.get_field_index("quality")).to_numpy(),
-            x.flatten().to_numpy().reshape(batch.num_rows, -1))
+    return batch.column("fold").to_numpy(), batch.column("quality").to_numpy(), _column(batch, "__x")
 
 
 def _sum_arrays(df: DataFrame, keys: list[str], run, width: int) -> dict:
@@ -209,9 +218,10 @@ def discriminant(moments: dict, folds: list[int], shrink: tuple[float, float], t
 
 
 def fit(labelled: DataFrame, seed: int = 11) -> QualityModel:
-    """``labelled``: doc_id, text, quality, one row per text."""
-    clear = labelled.where("quality in (0, 1)").withColumn("quality", F.col("quality").cast("int"))
-    rows = write_table(vectors(clear, seed), "quality-vectors")
+    """``labelled``: doc_id, __x, quality, one row per text."""
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(FOLDS)).cast("int")
+    rows = write_table(labelled.where("quality in (0, 1)").select(fold.alias("fold"), F.col("quality").cast("int").alias("quality"), "__x"),
+                       "quality-labelled")
     moments = class_moments(rows)
     everything = list(range(FOLDS))
     trials = [(f, s, discriminant(moments, [k for k in everything if k != f], shrink))
@@ -240,14 +250,14 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, quality of labelled rows that may be learned from."""
+    """``docs`` (vectors) with the quality of labelled rows that may be learned from."""
     marks = (labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    return docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id")
+    return docs.where(~held_out()).select("doc_id", "__x").join(marks.hint("merge"), "doc_id")
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = vectors(documents(spark, sf_dir))
     model = fit(training_rows(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality")))
     return model.score(docs).select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
                                     (F.col("__score") >= 0.5).cast("int").alias("predicted"))
