@@ -18,7 +18,7 @@ hand, and a pair that is in every document is one row per block.
 
 Texts are cut at spaces and newlines between visible characters, where neither
 tokenizer joins what stands on both sides, and each distinct chunk is encoded
-once per task (a bounded table; starting it anew changes no result).  Texts
+once per task (a bounded table; encoding a chunk again changes no result).  Texts
 longer than a slice are aligned in segments between such cuts.
 
 Rows: texts that are null, empty or not given back byte for byte by both sides
@@ -33,6 +33,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,23 +85,37 @@ class Sides:
     def forget(self) -> None:
         self.known_a: dict[str, bytes] = {}
         self.known_b: dict[str, bytes] = {}
+        self.older_a, self.older_b = self.known_a, self.known_b
         self.unfaithful: set[str] = set()
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known_a]
-        if len(self.known_a) + len(new) > self.max_entries:
-            self.forget()
-            new = list(chunks)
-        if not new:
-            return
-        for chunk, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False),
-                               self.b.encode([c.replace(" ", MARK) for c in new], num_threads=1)):
-            a = a.ids
-            self.known_a[chunk] = np.array(a, "<i4").tobytes()
-            self.known_b[chunk] = np.array(b, "<i4").tobytes()
-            data = chunk.encode()
-            if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-                self.unfaithful.add(chunk)
+        """Put all of ``chunks`` into the table.  A full table is set aside and
+        what is still asked for moves over, so at most two are held."""
+        if len(self.known_a) + len(chunks) > self.max_entries:
+            self.older_a, self.older_b, self.known_a, self.known_b = self.known_a, self.known_b, {}, {}
+            self.unfaithful &= self.older_a.keys()
+        new = []
+        for chunk in chunks:
+            if chunk not in self.known_a:
+                if (ids := self.older_a.get(chunk)) is not None:
+                    self.known_a[chunk], self.known_b[chunk] = ids, self.older_b[chunk]
+                else:
+                    new.append(chunk)
+        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        ids_b = self.b.encode([c.replace(" ", MARK) for c in new], num_threads=1)
+        data = "".join(new).encode()
+        for ids, known, side in ((ids_a, self.known_a, self.a_bytes), (ids_b, self.known_b, self.b_bytes)):
+            flat = np.fromiter(chain.from_iterable(ids), "<i4")
+            raw, ends = flat.tobytes(), np.cumsum([4 * len(x) for x in ids]).tolist()
+            known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+            if b"".join([side[i] for i in flat.tolist()]) != data:
+                self.unfaithful.update(c for c, x in zip(new, ids) if b"".join([side[i] for i in x]) != c.encode())
+            else:  # as many bytes in all, but are they cut at the same chunks?
+                sizes = np.add.reduceat(np.append(self.sizes(side)[flat], 0), np.array([0, *ends[:-1]]) // 4) if new else []
+                self.unfaithful.update(c for c, n in zip(new, sizes) if n != len(c.encode()))
+
+    def sizes(self, side: list[bytes]) -> np.ndarray:
+        return self.a_len if side is self.a_bytes else self.b_len
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text (space already in front), 32 bits each; a text that
@@ -321,7 +336,7 @@ def link_sums(made: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def alignment(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text", render: bool = False,
-              block_bytes: int = 8 << 20, max_entries: int = 200_000) -> tuple[DataFrame, DataFrame]:
+              block_bytes: int = 8 << 20, max_entries: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(a row per document: id, n_a, n_b, n_groups, n_links, n_overlaps, n_best,
     count_sum, groups), (a row per linked id pair: pair, a, b, count, best).
     ``groups`` is the text ``a1,a2|b1;a3|b2`` with ``render``, else its SHA-256."""
