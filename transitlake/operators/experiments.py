@@ -10,9 +10,11 @@ driver except MLlib's own model state.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from transitlake.operators import models as MD
 from transitlake.operators.metrics import summary_metrics
@@ -24,18 +26,23 @@ from transitlake.sources.materialize import materialize
 SURVEYS = ("KEPLER", "TESS")
 
 
-# K5 at the reference's size: every row and feature in each round, leaves of at
-# least 20 rows.  MLlib has no bound of 31 leaves, so depth 15 grows fuller trees.
-K5 = dict(max_iter=100, max_depth=15, step_size=0.1, subsampling=1.0, feature_subset="all", max_bins=255, min_leaf=20)
-K5_REFIT = K5 | dict(max_iter=150, step_size=0.05)
+# K5: leaf-wise trees of 31 leaves, at least 20 rows a leaf
+K5 = dict(rounds=100, rate=0.1, leaves=31, max_depth=15, min_rows=20)
+K5_REFIT = K5 | dict(rounds=150, rate=0.05)
 EARLY_STOP_ROWS = 10_000  # more training rows than this: a tenth of them decides when to stop
+EARLY_STOP = dict(validation_fraction=0.1, patience=10, tolerance=1e-7)
 
 
 def _fit(train: DataFrame, feats, label, **fit_kw):
-    kw = K5 | fit_kw
-    if "validation_fraction" not in kw:
-        kw["validation_fraction"] = 0.1 if train.count() > EARLY_STOP_ROWS else 0.0
-    return MD.fit_ovr_gbt(train, feats, label, **kw)
+    stop = EARLY_STOP if train.count() > EARLY_STOP_ROWS else {}
+    return MD.fit_leafwise(train, feats, label, impute=True, **K5 | stop | fit_kw)
+
+
+def _fit_all(jobs: list) -> list:
+    """Independent fits side by side; each is the same as alone."""
+    spark = jobs[0][0].sparkSession
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: _fit(*job[:3], **job[3])), jobs)
 
 
 def _eval_row(model, test: DataFrame, label: str, **tags) -> DataFrame:
@@ -50,10 +57,9 @@ def survey_transfer(df: DataFrame, feats, label: str, **fit_kw) -> DataFrame:
     the other survey."""
     sp = materialize(stratified_split(df.drop("is_train"), target=label, by=[MISSION]), "exp_split")
     rows = []
-    for s in SURVEYS:
+    trains = [sp.where((F.col(MISSION) == s) & F.col("is_train")) for s in SURVEYS]
+    for s, m in zip(SURVEYS, _fit_all([(t, feats, label, fit_kw) for t in trains])):
         other = [o for o in SURVEYS if o != s][0]
-        train = sp.where((F.col(MISSION) == s) & F.col("is_train"))
-        m = _fit(train, feats, label, **fit_kw)
         rows.append(_eval_row(m, sp.where((F.col(MISSION) == s) & ~F.col("is_train")), label,
                               experiment=f"{s.lower()}_only", train_survey=s, eval_survey=s))
         rows.append(_eval_row(m, sp.where(F.col(MISSION) == other), label,
@@ -85,11 +91,11 @@ def refit_on_balanced(df: DataFrame, feats, label: str, base_survey: str = "TESS
     also evaluated back on the base survey's held-out rows."""
     base = df.where(F.col(MISSION) == base_survey).drop("is_train")
     bsp = materialize(stratified_split(base, target=label), "exp_base")
-    m0 = _fit(bsp.where("is_train"), feats, label, **fit_kw)
     bal = materialize(capped_sample(df.where(F.col(MISSION) == target_survey).drop("is_train"),
                                     [label], cap), "exp_balanced")
     tsp = materialize(stratified_split(bal, target=label, test_size=0.3), "exp_refit")
-    m1 = _fit(tsp.where("is_train"), feats, label, **K5_REFIT | fit_kw)
+    m0, m1 = _fit_all([(bsp.where("is_train"), feats, label, fit_kw),
+                       (tsp.where("is_train"), feats, label, K5_REFIT | fit_kw)])
     held_out = bsp.where(~F.col("is_train"))
     rows = [_eval_row(m0, held_out, label, experiment="base", eval_survey=base_survey),
             _eval_row(m1, tsp.where(~F.col("is_train")), label, experiment="refit_balanced",
@@ -103,11 +109,12 @@ def ratio_experiments(df: DataFrame, feats, label: str, ratios=(0.9, 0.8, 0.7, 0
     """Option C (K19): fixed-size survey mixes; per ratio a stratified 80/20
     split per survey, one model, accuracy / F1 on each survey's held-out
     rows, their mean F1 and gap; ``is_best`` marks the best mean F1 (E25)."""
-    rows = []
+    rows, splits = [], []
     for r in ratios:
         smp = materialize(ratio_sample(df.drop("is_train"), tess_ratio=r, total=total), "exp_ratio")
-        sp = materialize(stratified_split(smp, target=label, by=[MISSION]), "exp_ratio_split")
-        m = _fit(sp.where("is_train"), feats, label, **fit_kw)
+        splits.append(materialize(stratified_split(smp, target=label, by=[MISSION]), "exp_ratio_split"))
+    models = _fit_all([(sp.where("is_train"), feats, label, fit_kw) for sp in splits])
+    for r, sp, m in zip(ratios, splits, models):
         evals = {s: summary_metrics(m.transform(sp.where((F.col(MISSION) == s) & ~F.col("is_train"))),
                                     label, "prediction", m.classes)
                  .select(F.col("accuracy").alias(f"{s.lower()}_accuracy"),

@@ -49,7 +49,7 @@ def q_train_forest_candidates(spark, sf_dir):
 
 def q_train_boosted_candidates(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
-    m = MD.fit_ovr_gbt(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["lightgbm"])
+    m = MD.fit_leafwise(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["lightgbm"])
     return round_doubles(summary_metrics(m.transform(s.where(~F.col("is_train"))), LABEL, "prediction"))
 
 
