@@ -12,7 +12,7 @@ MODULES = [
     "transitlake.plans.fitted_queries",
     "transitlake.plans.metrics_queries",
     "transitlake.plans.validate_queries",
-    "transitlake.plans.model_queries",
+    "transitlake.plans.model_queries", "transitlake.plans.oversample_queries",
     "transitlake.plans.extra_queries",
     "transitlake.plans.match_queries",
     "transitlake.plans.store_queries",
