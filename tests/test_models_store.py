@@ -91,18 +91,19 @@ def test_boosted_models_are_fitted_at_their_configured_sizes(spark, monkeypatch)
     from transitlake.operators import experiments as EX
     from transitlake.operators import models as models_module
     from transitlake.plans import extra_queries, model_queries
-    real, sizes = models_module.fit_ovr_gbt, []
+    real, sizes = models_module.fit_leafwise, []
 
     def small(train, feats, label, **kw):
         sizes.append(kw)
-        return real(train, feats[:3], label, **kw | dict(max_iter=1, max_depth=2))
+        return real(train, feats[:3], label, **kw | dict(rounds=1, leaves=2))
 
-    monkeypatch.setattr(models_module, "fit_ovr_gbt", small)
+    monkeypatch.setattr(models_module, "fit_leafwise", small)
     assert model_queries.q_train_boosted_candidates(spark, SF_SMALL).count() == 1
-    assert sizes == [models_module.MODEL_PARAMS["lightgbm"]]
+    assert sizes == [models_module.MODEL_PARAMS["lightgbm"]] and sizes[0]["rounds"] == 2000 and sizes[0]["patience"] == 150
     sizes.clear()
     assert extra_queries.q_refit_balanced(spark, SF_SMALL).count() == 3
-    of = lambda *names: [tuple(kw[n] for n in names) for kw in sizes]
-    assert of("max_iter", "max_depth", "step_size") == [(100, 15, 0.1), (150, 15, 0.05)]
-    assert of("validation_fraction") == [(0.0,), (0.0,)]  # no early stop up to 10,000 rows
+    of = lambda *names: sorted(tuple(kw.get(n) for n in names) for kw in sizes)
+    assert of("rounds", "leaves", "max_depth", "rate") == [(100, 31, 15, 0.1), (150, 31, 15, 0.05)]
+    assert of("patience") == [(None,), (None,)]  # no early stop up to 10,000 rows
     assert EX.EARLY_STOP_ROWS == 10_000
+    assert models_module.MODEL_PARAMS["catboost"] == dict(rounds=500, rate=0.05, depth=6, l2=3.0, bins=254, patience=50)

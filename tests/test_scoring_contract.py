@@ -90,7 +90,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
 
 @pytest.mark.parametrize("name, params", [("random_forest", dict(num_trees=3, max_depth=3)),
-                                          ("catboost", dict(max_iter=2, max_depth=2))])
+                                          ("catboost", dict(rounds=2, depth=2))])
 def test_train_save_load_score(spark, name, params):
     """The train job's preparation follows the model's name and travels with
     the saved model."""

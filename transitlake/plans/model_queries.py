@@ -53,6 +53,14 @@ def q_train_boosted_candidates(spark, sf_dir):
     return round_doubles(summary_metrics(m.transform(s.where(~F.col("is_train"))), LABEL, "prediction"))
 
 
+def q_train_ordered_candidates(spark, sf_dir):
+    """K2 at the configured size, with the booster-style features."""
+    d = drop_leaking(add_features(deduped_table(spark, sf_dir), catboost=True))
+    s = materialize(survey_first_split(d), "ordered_input")
+    m = MD.fit_oblivious(s.where("is_train"), model_features(s), LABEL, **MD.MODEL_PARAMS["catboost"])
+    return round_doubles(summary_metrics(m.transform(s.where(~F.col("is_train"))), LABEL, "prediction"))
+
+
 def q_train_mlp_candidates(spark, sf_dir):
     s, feats = model_input(spark, sf_dir)
     m = MD.fit_mlp(s.where("is_train"), feats, LABEL, **MD.MODEL_PARAMS["mlp"])
@@ -106,6 +114,7 @@ def q_best_mix(spark, sf_dir):
 QUERIES = {
     "train_forest_candidates": q_train_forest_candidates,
     "train_boosted_candidates": q_train_boosted_candidates,
+    "train_ordered_candidates": q_train_ordered_candidates,
     "train_mlp_candidates": q_train_mlp_candidates,
     "train_mlp_embeddings": q_train_mlp_embeddings,
     "feature_importance": q_feature_importance,
