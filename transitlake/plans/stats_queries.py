@@ -86,7 +86,7 @@ SQL_KS_STATISTIC = O.with_(CLEAN_CTE, "SELECT feature, n_a, n_b, round(d_stat, 6
 
 
 def q_ks_test(spark, sf_dir):
-    t = ST.ks_test(analysis_rows(spark, sf_dir), FEATURES)
+    t = ST.ks_test(analysis_rows(spark, sf_dir), FEATURES, exact_rows=0)  # the limit, as in the SQL
     return round_doubles(t)
 
 
@@ -95,8 +95,14 @@ SELECT feature, n_a, n_b, round(d_stat, 6) AS d_stat, round(p_value, 6) AS p_val
   p_value < 0.05 AS significant FROM ksp""")
 
 
+def q_ks_exact(spark, sf_dir):
+    """Exact small-sample p-values, as the negative decimal logarithm."""
+    t = ST.ks_test(analysis_rows(spark, sf_dir), FEATURES).where(F.greatest("n_a", "n_b") <= ST.EXACT_ROWS)
+    return round_doubles(t.select("feature", "n_a", "n_b", "d_stat", (-F.log10("p_value")).alias("neg_log10_p")))
+
+
 def q_shift_summary(spark, sf_dir):
-    return ST.shift_summary(ST.ks_test(analysis_rows(spark, sf_dir, materialized=True), FEATURES))
+    return ST.shift_summary(ST.ks_test(analysis_rows(spark, sf_dir, materialized=True), FEATURES, exact_rows=0))
 
 
 SQL_SHIFT_SUMMARY = O.with_(CLEAN_CTE, """
@@ -119,6 +125,7 @@ QUERIES = {
     "shift_moments": q_shift_moments,
     "ks_statistic": q_ks_statistic,
     "ks_test": q_ks_test,
+    "ks_exact": q_ks_exact,
     "shift_summary": q_shift_summary,
     "top_shifted": q_top_shifted,
 }
