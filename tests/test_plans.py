@@ -11,7 +11,7 @@ from transitlake.plans.registry import all_queries
 
 # model fits and experiments train while the plan is built; their scans
 # and aggregates are the same operators checked through other queries
-MODEL_QUERIES = {"batch_score", "best_mix", "feature_importance", "mixed_training_tess", "mixed_training_kepler",
+MODEL_QUERIES = {"batch_score", "best_mix", "experiment_results", "feature_importance", "mixed_training_tess", "mixed_training_kepler",
                  "refit_balanced", "survey_transfer", "domain_pca", "score_contract"}
 PYTHON_ALLOWED = {"quantile_normal", "oversampled_training", "ks_exact"}  # the near-match streams too, but writes before the plan checked here
 QUERIES = all_queries()  # this library's own; optional subpackages test theirs

@@ -129,3 +129,18 @@ def ratio_experiments(df: DataFrame, feats, label: str, ratios=(0.9, 0.8, 0.7, 0
              .withColumn("survey_gap", F.abs(F.col("tess_accuracy") - F.col("kepler_accuracy")))
     best = F.max("avg_f1").over(Window.partitionBy())
     return out.withColumn("is_best", F.col("avg_f1") == best)
+
+
+def results_table(df: DataFrame, feats, label: str, total: int = 8000, **fit_kw) -> DataFrame:
+    """All experiments as one table (K20): experiment, eval_survey, test_n
+    (NULL for the fixed-size mixes), accuracy, f1."""
+    runs = [lambda: survey_transfer(df, feats, label, **fit_kw), lambda: refit_on_balanced(df, feats, label, **fit_kw),
+            *[lambda s=s: mixed_training(df, feats, label, base_survey=s, **fit_kw) for s in SURVEYS],
+            lambda: ratio_experiments(df, feats, label, total=total, **fit_kw)]
+    with ThreadPool(len(runs)) as pool:  # independent of each other
+        *plain, mixes = pool.map(inheritable_thread_target(df.sparkSession)(lambda run: run()), runs)
+    names = ["experiment", "eval_survey", "test_n", "accuracy", "f1"]
+    name = F.concat(F.lit("mix_"), F.round(F.col("tess_ratio") * 100).cast("int").cast("string"))
+    sides = [mixes.select(name.alias("experiment"), F.lit(s).alias("eval_survey"), F.lit(None).cast("long").alias("test_n"),
+                          F.col(f"{s.lower()}_accuracy").alias("accuracy"), F.col(f"{s.lower()}_f1").alias("f1")) for s in SURVEYS]
+    return reduce(lambda a, b: a.unionByName(b), [*[p.select(*names) for p in plain], *sides])

@@ -4,6 +4,8 @@ experiments (K17, K18)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from transitlake.functions.expr import round_doubles
@@ -16,6 +18,7 @@ from transitlake.plans import oracle_sql as O
 from transitlake.plans.model_queries import LABEL, model_input
 from transitlake.plans.report_queries import PREDICTIONS
 from transitlake.schema import TOI_TO_KOI
+from transitlake.session import scratch_path
 from transitlake.sources import fixtures as X
 from transitlake.sources.tables import read_table
 
@@ -120,6 +123,15 @@ def q_refit_balanced(spark, sf_dir):
     return round_doubles(EX.refit_on_balanced(s, feats, LABEL))
 
 
+def q_experiment_results(spark, sf_dir):
+    """Every experiment's rows, written as CSV and read back."""
+    s, feats = model_input(spark, sf_dir)
+    table = EX.results_table(s, feats, LABEL)
+    path = scratch_path(spark, f"experiments-{uuid.uuid4().hex}")
+    table.write.option("header", True).csv(path)
+    return round_doubles(spark.read.option("header", True).schema(table.schema).csv(path))
+
+
 QUERIES = {
     "sparse_columns": q_sparse_columns,
     "history_dates": q_history_dates,
@@ -128,6 +140,7 @@ QUERIES = {
     "mixed_training_tess": q_mixed_training_tess,
     "mixed_training_kepler": q_mixed_training_kepler,
     "refit_balanced": q_refit_balanced,
+    "experiment_results": q_experiment_results,
 }
 
 ORACLE = {
