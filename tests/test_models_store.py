@@ -23,8 +23,8 @@ def test_mlp_embeddings_probabilities_and_learnability(spark):
     e = e.withColumn("target", learnable)
     sp = stratified_split(e, target="target").cache()
     feats = [f"e_{i}" for i in range(64)]
-    m = MD.fit_mlp(sp.where("is_train"), feats, "target", classes=["a", "b", "c"],
-                   hidden=(32,), max_iter=200)
+    m = MD.fit_mlp_lbfgs(sp.where("is_train"), feats, "target", classes=["a", "b", "c"],
+                         hidden=(32,), max_iter=200)  # Adam with early stopping: test_mlp
     scored = m.transform(sp.where(~F.col("is_train"))).cache()
     sums = scored.select(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b).alias("s"))
     assert sums.where(F.abs(F.col("s") - 1) > 1e-6).count() == 0
