@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from transitlake.functions.features import add_features, catboost_features, uncertainty_features
 from transitlake.functions.habitability import add_habitability
 from transitlake.operators.clean import exact_dedupe, fit_sparse_columns, null_impossible
-from transitlake.operators.fitted import fit_quantile_normal, quantile_to_normal, _norm_ppf
+from transitlake.functions.normal import probit, probit_argument
+from transitlake.operators.fitted import QuantileNormalModel, fit_quantile_normal
 from transitlake.operators.match import dup_pairs, remove_cross_mission_duplicates
 from transitlake.operators.sampling import survey_first_split
 
@@ -199,7 +200,6 @@ def test_split_shortage_and_exact_quotas(spark):
 
 
 def test_quantile_normal_unseen_survey_and_monotone(spark):
-    import numpy as np
     rows = [(i, "KEPLER", float(i)) for i in range(100)] + [(1000, "UNKNOWN", 5.0), (1001, "KEPLER", None)]
     df = spark.createDataFrame(rows, "row_id long, mission string, merged_koi_prad double")
     m = fit_quantile_normal(df.where("mission = 'KEPLER'"), ["merged_koi_prad"])
@@ -209,9 +209,64 @@ def test_quantile_normal_unseen_survey_and_monotone(spark):
     vals = [out[i] for i in range(100)]
     assert all(b >= a for a, b in zip(vals, vals[1:]))
     assert abs(vals[50] + vals[49]) < 1e-9
-    grid = np.arange(100, dtype=float)
-    assert quantile_to_normal(np.array([49.5]), grid)[0] == pytest.approx(0.0, abs=1e-12)
-    assert _norm_ppf(np.array([0.975]))[0] == pytest.approx(1.959963984540054, rel=1e-12)
+    middle = QuantileNormalModel({"x": {"KEPLER": [float(i) for i in range(100)]}})
+    one = spark.createDataFrame([("KEPLER", 49.5)], "mission string, x double")
+    assert middle.transform(one).first().feat_qn_x == pytest.approx(0.0, abs=1e-12)
+    p = F.lit(0.975)
+    assert spark.range(1).select(probit(p, probit_argument(p))).first()[0] == pytest.approx(1.959963984540054, rel=1e-12)
+
+
+def test_probit_is_the_inverse_normal(spark):
+    from statistics import NormalDist
+    ps = [1e-7, 1e-5, 0.001, 0.02, 0.075, 0.0750001, 0.3, 0.5, 0.6, 0.925, 0.99, 1 - 1e-7]
+    df = spark.createDataFrame([(p,) for p in ps], "p double").withColumn("r", probit_argument(F.col("p")))
+    for row in df.select("p", probit(F.col("p"), F.col("r")).alias("z")).collect():
+        assert row.z == pytest.approx(NormalDist().inv_cdf(row.p), rel=1e-13, abs=1e-15)
+
+
+def _plain_score(x, grid):
+    """One value at a time, by walking the whole grid."""
+    from statistics import NormalDist
+    if x is None or math.isnan(x):
+        return None
+    clip, n = 1e-7 - 2.220446049250313e-16, len(grid)
+    if x + 1e-7 > grid[-1]:
+        place = 1.0
+    elif x - 1e-7 < grid[0]:
+        place = 0.0
+    else:
+        place = 0.0
+        for side in (max(k for k in range(n) if grid[k] <= x), min(k for k in range(n) if grid[k] >= x)):
+            if grid[side] == x:
+                place += side / (n - 1) / 2
+            else:
+                low = side if grid[side] < x else side - 1
+                place += (low + (x - grid[low]) / (grid[low + 1] - grid[low])) / (n - 1) / 2
+    return NormalDist().inv_cdf(min(max(place, clip), 1 - clip))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 999, 1000, 1025])
+def test_quantile_normal_equals_a_plain_walk(spark, n):
+    """Ties inside the grid and at its ends, grids of any length, values on,
+    between and beyond the points; own columns named like the inner ones."""
+    import random
+    rnd = random.Random(n)
+    grids = {"A": sorted(rnd.choice([float(rnd.randint(0, 40)), rnd.uniform(0, 40)]) for _ in range(n)),
+             "B": sorted(float(rnd.randint(0, 3)) for _ in range(max(1, n // 2)))}
+    inf = float("inf")
+    values = [None, float("nan"), inf, -inf, -1.0, 0.0, 40.0, 41.0, *map(float, range(0, 41, 5)), *(rnd.uniform(-1, 41) for _ in range(40))]
+    rows = [(s, v, v) for s in ("A", "B", "C", None) for v in values]
+    df = spark.createDataFrame(rows, "mission string, x double, __qn_x0 double")
+    out = QuantileNormalModel({"x": grids, "absent": grids}).transform(df)
+    assert out.columns == [*df.columns, "feat_qn_x"]
+    got = sorted(((r.mission, str(r.x)), r.feat_qn_x) for r in out.collect() if r.mission in grids)
+    want = sorted(((s, str(v)), _plain_score(v, grids[s])) for s, v, _ in rows if s in grids)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    for (key, a), (_, b) in zip(got, want):
+        assert (a is None) == (b is None), key
+        if a is not None:
+            assert a == pytest.approx(b, rel=1e-9, abs=1e-9), key
+    assert all(r.feat_qn_x == 0.0 for r in out.collect() if r.mission not in grids)
 
 
 def test_blocked_running_sums_equal_window(spark):

@@ -1,8 +1,7 @@
 """Plan checks over every registered query (physical plan, before AQE):
-no Cartesian or nested-loop join, Python evaluation only in the
-quantile-to-normal map (I2), the neighbour search (J7) and over one row per
-feature (E14), and rows reach a single partition only after an aggregate has
-reduced them."""
+no Cartesian or nested-loop join, Python evaluation only in the neighbour
+search (J7) and over one row per feature (E14), and rows reach a single
+partition only after an aggregate has reduced them."""
 
 import pytest
 
@@ -13,7 +12,7 @@ from transitlake.plans.registry import all_queries
 # and aggregates are the same operators checked through other queries
 MODEL_QUERIES = {"batch_score", "best_mix", "experiment_results", "feature_importance", "mixed_training_tess", "mixed_training_kepler",
                  "refit_balanced", "survey_transfer", "domain_pca", "score_contract"}
-PYTHON_ALLOWED = {"quantile_normal", "oversampled_training", "ks_exact"}  # the near-match streams too, but writes before the plan checked here
+PYTHON_ALLOWED = {"oversampled_training", "ks_exact"}  # the near-match streams too, but writes before the plan checked here
 QUERIES = all_queries()  # this library's own; optional subpackages test theirs
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                 "PythonMapInArrow", "MapInArrow")

@@ -3,22 +3,19 @@
 
 The fitted state of each transform is tiny (a few numbers per column, or
 a quantile grid per survey) and is computed by one aggregate; applying
-it is a column expression, except the quantile-to-normal map, which
-needs piecewise-linear interpolation on a 1000-point grid and runs as an
-Arrow-batched pandas UDF (numpy over whole batches, never per row).
+it is a column expression, also for the quantile-to-normal map: a binary
+search over the survey's grid and a rational inverse of the normal CDF.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from transitlake.functions.normal import grid_place, probit, probit_argument
 from transitlake.schema import MISSION, QUANTILE_NORMAL_FEATURES
 
 STELLAR = ["merged_koi_steff", "merged_koi_slogg", "merged_koi_srad"]
@@ -181,97 +178,80 @@ def fit_quintile_bins(df: DataFrame, cols, q: int = 5) -> QuintileBinModel:
 
 # --- per-survey quantile-to-normal (I2) ------------------------------------
 
-def _norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse standard normal CDF: Acklam's rational approximation plus one
-    Halley refinement step (relative error ~1e-15)."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00]
-    p = np.asarray(p, dtype="float64")
-    x = np.full(p.shape, np.nan)
-    lo, hi = 0.02425, 1 - 0.02425
-    m = (p > 0) & (p < lo)
-    q = np.sqrt(-2 * np.log(p[m]))
-    x[m] = (((((c[0]*q+c[1])*q+c[2])*q+c[3])*q+c[4])*q+c[5]) / ((((d[0]*q+d[1])*q+d[2])*q+d[3])*q+1)
-    m = (p >= lo) & (p <= hi)
-    q = p[m] - 0.5
-    r = q * q
-    x[m] = (((((a[0]*r+a[1])*r+a[2])*r+a[3])*r+a[4])*r+a[5])*q / \
-        (((((b[0]*r+b[1])*r+b[2])*r+b[3])*r+b[4])*r+1)
-    m = (p > hi) & (p < 1)
-    q = np.sqrt(-2 * np.log(1 - p[m]))
-    x[m] = -(((((c[0]*q+c[1])*q+c[2])*q+c[3])*q+c[4])*q+c[5]) / ((((d[0]*q+d[1])*q+d[2])*q+d[3])*q+1)
-    ok = np.isfinite(x)
-    erfc = np.vectorize(math.erfc)
-    if ok.any():
-        e = 0.5 * erfc(-x[ok] / math.sqrt(2)) - p[ok]
-        u = e * math.sqrt(2 * math.pi) * np.exp(x[ok] ** 2 / 2)
-        x[ok] = x[ok] - u / (1 + x[ok] * u / 2)
-    return x
-
-
-_BOUND = 1e-7
-_SPACING = np.spacing(1)
-
-
-def quantile_to_normal(values: np.ndarray, quantiles: np.ndarray) -> np.ndarray:
-    """Map values through the fitted quantile grid to N(0,1) scores: the
-    mean of forward and backward linear interpolation (ties), bounds
-    pinned to 0 / 1, then the inverse normal CDF clipped to the probit of
-    1e-7 on each side.  NaN stays NaN."""
-    refs = np.linspace(0, 1, len(quantiles))
-    lo_b, hi_b = quantiles[0], quantiles[-1]
-    fwd = np.interp(values, quantiles, refs)
-    bwd = -np.interp(-values, -quantiles[::-1], -refs[::-1])
-    p = 0.5 * (fwd + bwd)
-    p = np.where(values - _BOUND < lo_b, 0.0, p)
-    p = np.where(values + _BOUND > hi_b, 1.0, p)
-    clip_lo = _norm_ppf(np.array([_BOUND - _SPACING]))[0]
-    clip_hi = _norm_ppf(np.array([1 - (_BOUND - _SPACING)]))[0]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        z = _norm_ppf(np.clip(p, _BOUND - _SPACING, 1 - (_BOUND - _SPACING)))
-    z = np.clip(z, clip_lo, clip_hi)
-    return np.where(np.isnan(values), np.nan, z)
-
-
-def _qn_udf(grids: dict):
-    """Arrow-batched UDF over (value, survey) for one feature; the fitted
-    grids (surveys x <= 1000 doubles) travel inside the closure."""
-
-    @F.pandas_udf(T.DoubleType())
-    def qn(x: pd.Series, g: pd.Series) -> pd.Series:
-        vals = x.astype("float64").to_numpy()
-        out = np.zeros(len(vals))  # unseen survey -> 0.0
-        keys = g.to_numpy()
-        for k, grid in grids.items():
-            m = keys == k
-            if m.any():
-                out[m] = quantile_to_normal(vals[m], grid)
-        return pd.Series(out)
-
-    return qn
+def _free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, lengthened until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 @dataclass
 class QuantileNormalModel:
-    """grids[feature][survey] -> sorted quantile array (<= 1000 points)."""
+    """grids[feature][survey] -> sorted quantile array (<= 1000 points).
+
+    ``transform`` adds ``feat_qn_<feature>``: the value's place in its survey's
+    grid (0 to 1, interpolated; the middle of a run of equal grid points), as a
+    standard normal score clipped at the probability 1e-7.  NULL and NaN stay
+    NULL; a survey without a grid scores 0.
+
+    A value's place is found by MLlib's ``Bucketizer`` (a binary search over the
+    distinct grid points of its survey), and what it needs of the grid there
+    comes from a broadcast join with one row per survey (features x <= 1000
+    points: the fitted state, whatever the data's size).  No Python runs per row."""
     grids: dict = field(default_factory=dict)
     group: str = MISSION
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cols = {}
-        for feat, by_survey in self.grids.items():
-            if feat not in df.columns:
-                continue
-            grids = {k: np.asarray(v, dtype="float64") for k, v in by_survey.items()}
-            qn = _qn_udf(grids)
-            cols[f"feat_qn_{feat}"] = qn(F.col(feat), F.col(self.group))
-        return df.withColumns(cols) if cols else df
+        feats = [f for f in self.grids if f in df.columns and self.grids[f]]
+        if not feats:
+            return df
+        from pyspark.ml.feature import Bucketizer
+        pre = _free_prefix(df, "__qn_")
+        surveys = sorted({s for f in feats for s in self.grids[f]})
+        points = {(s, f): grid_points(self.grids[f][s]) for f in feats for s in self.grids[f]}
+        schema = T.StructType([T.StructField(f"{pre}key", df.schema[self.group].dataType)] + [
+            T.StructField(f"{pre}grid{i}", T.ArrayType(POINT)) for i in range(len(feats))])
+        table = df.sparkSession.createDataFrame([(s, *(points.get((s, f)) for f in feats)) for s in surveys], schema)
+
+        out = df.join(F.broadcast(table), F.col(self.group) == F.col(f"{pre}key"), "left")
+        add = lambda part, made: out.withColumns({f"{pre}{part}{i}": made(i) for i in range(len(feats))})
+        col = lambda part, i: F.col(f"{pre}{part}{i}")
+        value = [F.col(f).cast("double") for f in feats]
+        out = add("x", lambda i: F.when(~F.isnan(value[i]), value[i]))
+        # one search per survey and feature; a row of another survey has NULL there
+        own = {(s, f): (f"{pre}in{j}", f"{pre}n{j}") for j, (s, f) in enumerate(points)}
+        out = out.withColumns({own[s, f][0]: F.when(F.col(self.group) == s, col("x", feats.index(f))) for s, f in points})
+        ends = float("-inf"), float("inf")
+        out = Bucketizer(inputCols=[a for a, _ in own.values()], outputCols=[b for _, b in own.values()], handleInvalid="keep",
+                         splitsArray=[[ends[0], *(p[0] for p in ps), ends[1]] for ps in points.values()]).transform(out)
+        below = lambda i: F.coalesce(*[F.col(own[s, f][1]) for s, f in points if f == feats[i]])
+        out = add("at", lambda i: F.get(col("grid", i), below(i).cast("int") - 1))
+        out = add("p", lambda i: grid_place(col("x", i), col("at", i), F.get(col("grid", i), F.lit(0))["point"],
+                                            F.get(col("grid", i), F.size(col("grid", i)) - 1)["point"]))
+        out = add("r", lambda i: probit_argument(col("p", i)))
+        out = out.withColumns({f"feat_qn_{f}": F.when(col("grid", i).isNull(), F.lit(0.0)).otherwise(probit(col("p", i), col("r", i)))
+                               for i, f in enumerate(feats)})
+        inner = [f"{pre}{part}{i}" for part in ("grid", "x", "at", "p", "r") for i in range(len(feats))]
+        return out.drop(f"{pre}key", *inner, *[c for pair in own.values() for c in pair])
+
+
+POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("point", "hit", "share", "slope")])
+
+
+def grid_points(grid: list) -> list[tuple]:
+    """The distinct points of a sorted grid whose entries stand for evenly
+    spaced probabilities.  ``hit``: the place of a value equal to the point, the
+    middle of its run of equal entries; ``share`` and ``slope``: the line from
+    the run's end to the next point."""
+    last = len(grid) - 1
+    place = [1.0 if k == last else k / last for k in range(len(grid))]
+    starts = [k for k in range(len(grid)) if k == 0 or grid[k] != grid[k - 1]]
+    out = []
+    for first, after in zip(starts, [*starts[1:], None]):
+        end = last if after is None else after - 1
+        slope = 0.0 if after is None else (place[after] - place[end]) / (grid[after] - grid[end])
+        out.append((float(grid[first]), (place[first] + place[end]) / 2, place[end], slope))
+    return out
 
 
 def quantile_grids(df: DataFrame, features, group: str = MISSION,
