@@ -142,6 +142,29 @@ def test_trie_links_lose_nothing(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_dense_unit_is_split_until_no_task_holds_it_whole(spark, monkeypatch):
+    """Fingerprints that agree in 40 bits: one split of 8 bits leaves them
+    together, so the units must be descended again."""
+    rng = random.Random(9)
+    head = rng.getrandbits(64) & ~((1 << 24) - 1)
+    fps = sorted({head | rng.getrandbits(24) for _ in range(1500)})
+    df = write_table(spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long"), "test-fingerprints")
+    levels, descend = [], simhash_trie._descend
+
+    def counted(rows, budgets):
+        levels.append(rows.groupBy("turn", "depth", "u", "v").count().agg({"count": "max"}).first()[0])
+        return descend(rows, budgets)
+
+    monkeypatch.setattr(simhash_trie, "_descend", counted)
+    roots = {r.node % 2**64: r.root % 2**64 for r in connected_components(simhash_trie.links(df, 4, 400)).collect()}
+    assert len(levels) > 2 and levels[-1] > 400
+    want = components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    same = {}
+    for f in fps:
+        assert same.setdefault(want[f], roots.get(f, f)) == roots.get(f, f)
+    assert len(set(same.values())) == len(same)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}

@@ -88,6 +88,21 @@ def own_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns renamed whose names an operator's inner ones (``__...``)
+    could equal or that are no plain words; the name that each column has now; and
+    the function that gives an output its given names back."""
+    now: dict[str, str] = {}
+    for c in df.columns:
+        plain = re.fullmatch(r"\w+", c) and not c.startswith("__")
+        now[c] = c if plain else own_name("own_" + re.sub(r"\W", "_", c), [*df.columns, *now.values()])
+    if all(k == v for k, v in now.items()):
+        return df, now, lambda out: out
+    given = {v: k for k, v in now.items()}
+    return (df.toDF(*(now[c] for c in df.columns)), now,
+            lambda out: out.toDF(*(given.get(c, c) for c in out.columns)))
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str,
               per_slice: Callable[[list[str]], list[pa.Array]], carry: list[str] | None = None) -> DataFrame:
     """``df``'s id (and ``carry`` columns), then the columns that ``per_slice``

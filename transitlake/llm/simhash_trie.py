@@ -13,9 +13,9 @@ most ``max_bits`` bits, then from some block on the first l blocks hold at most
 l - 1 differing bits, for every l (cycle lemma).  So each of the tries prunes
 with the budget 0, 1, 2, ... by block, none loses a pair that all the others
 lose, and the first block is an equality: the key by which sub-tries are dealt
-to tasks.  A sub-trie of more than ``split_rows`` distinct fingerprints is
-descended ``SPLIT_BITS`` levels further on the key (its node pairs become units
-of their own), so no single task gets it whole.
+to tasks.  Units of more than ``split_rows`` distinct fingerprints are descended
+``SPLIT_BITS`` levels further in Spark (their node pairs become units of their
+own), again and again until none is larger, so no task gets a large one whole.
 
 Within a task links are reduced to a spanning forest, and node pairs that lie
 wholly in one component are skipped, so a large group of near copies costs
@@ -24,7 +24,8 @@ contraction in Spark.
 
 Rows: a null or empty text has fingerprint zero and links like any other;
 repeated rows are linked by their equal fingerprints; a null id never is a
-component id unless its component has no other.
+component id unless its component has no other; ``representatives`` carries
+extra columns whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import documents, map_texts, write_table
+from transitlake.llm.common import documents, map_texts, shielded, write_table
 from transitlake.llm.components import connected_components
 
 SPLIT_BITS = 8
@@ -173,48 +174,64 @@ def _rows_of(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[owner, 0] + k // n_b[owner], pairs[owner, 2] + k % n_b[owner]
 
 
+def _descend(rows: DataFrame, budgets: np.ndarray) -> DataFrame:
+    """The rows of units (pairs of nodes u, v at ``depth``), in the units
+    SPLIT_BITS further down: pairs of nodes that both have rows and whose
+    differing bits keep within the budget there.  The pairs are made from the
+    nodes, at most 2 * 2^SPLIT_BITS a unit, so rows follow only into pairs."""
+    below = F.col("depth") + SPLIT_BITS
+    rows = rows.select("turn", below.alias("depth"), "u", "v", "bits",
+                       F.call_function("shiftrightunsigned", F.col("bits"), 64 - below).alias("node"))
+    place = ["turn", "depth", "u", "v", "node"]
+    nodes = write_table(rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).select(*place), "trie-nodes")
+    allowed = F.get(F.get(F.array(*[F.array(*map(F.lit, row.tolist())) for row in budgets]), F.col("turn")), F.col("depth"))
+    apart = F.col("u").bitwiseXOR(F.col("v"))
+    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << SPLIT_BITS) - 1).cast("long")),
+                     lambda m: F.bit_count(m) <= F.col("left"))
+    other = F.shiftleft(apart, SPLIT_BITS).bitwiseXOR(F.col("mask")).bitwiseXOR(F.col("node"))
+    pairs = (nodes.withColumn("left", allowed - F.bit_count(apart)).withColumn("mask", F.explode(masks)).withColumn("other", other)
+             .join(nodes.withColumnRenamed("node", "other"), ["turn", "depth", "u", "v", "other"], "left_semi"))
+    pairs = write_table(pairs.select(*place, F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), "trie-pairs")
+    return rows.join(pairs, place).select("turn", "depth", F.col("a").alias("u"), F.col("b").alias("v"), "bits")
+
+
 def links(fps: DataFrame, max_bits: int = 4, split_rows: int = 200_000) -> DataFrame:
     """``fps``: one row per distinct long ``fp``.  Returns a, b: a forest of
     links that connects exactly what lies within ``max_bits`` bits."""
     edges = _blocks(max_bits + 1)
     first = [edges[r + 1] - edges[r] for r in range(max_bits + 1)]
-    deeper = min(SPLIT_BITS, *first)  # within the second block, whose budget is one bit
     turned = lambda r: F.shiftleft("fp", edges[r]).bitwiseOR(
         F.shiftrightunsigned("fp", 64 - edges[r])) if edges[r] else F.col("fp")
     rows = fps.select(F.explode(F.array(*[
-        F.struct(F.lit(r).alias("turn"), turned(r).alias("bits"), F.shiftrightunsigned(turned(r), 64 - first[r]).alias("head"))
-        for r in range(max_bits + 1)])).alias("x")).select("x.*")
-    heavy = rows.groupBy("turn", "head").count().where(F.col("count") > split_rows).select("turn", "head", F.lit(True).alias("heavy"))
-    rows = rows.join(heavy, ["turn", "head"], "left")
-    width = F.element_at(F.array(*map(F.lit, first)), F.col("turn") + 1)
-    # the next deeper bits, and those that differ from them in one bit at most
-    follow = F.element_at(F.array(*[F.shiftrightunsigned("bits", 64 - w - deeper) for w in first]), F.col("turn") + 1)
-    part = follow.bitwiseAND(F.lit((1 << deeper) - 1))
-    near = F.array(F.lit(0), *[F.lit(1 << i) for i in range(deeper)])
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("u"), F.lit(-1).cast("long").alias("v")))
-    pieces = F.transform(near, lambda x: F.struct(F.least(part, part.bitwiseXOR(x)).cast("long").alias("u"),
-                                                  F.greatest(part, part.bitwiseXOR(x)).cast("long").alias("v")))
-    rows = rows.select("turn", "head", "bits", width.alias("width"), F.explode(F.when(F.col("heavy"), pieces).otherwise(whole)).alias("p"))
-    rows = rows.select("turn", "head", "p.u", "p.v", "width", "bits")
+        F.struct(F.lit(r).alias("turn"), F.lit(first[r]).alias("depth"), F.shiftrightunsigned(turned(r), 64 - first[r]).alias("u"),
+                 turned(r).alias("bits")) for r in range(max_bits + 1)])).alias("x")).select("x.*")
+    rows = rows.select("turn", "depth", "u", F.col("u").alias("v"), "bits")
+    unit = ["turn", "depth", "u", "v"]
     budgets = np.array([_budgets(r, edges) for r in range(max_bits + 1)])
-    unit = ["turn", "head", "u", "v"]
+    light = []
+    for _ in range(max(first) + SPLIT_BITS, 64, SPLIT_BITS):  # deeper units have few fingerprints
+        heavy = write_table(rows.groupBy(*unit).count().where(F.col("count") > split_rows).select(*unit), "heavy-units")
+        if heavy.isEmpty():
+            break
+        light.append(rows.join(heavy, unit, "left_anti"))
+        rows = write_table(_descend(rows.join(heavy, unit, "left_semi"), budgets), "split-units")
+    for done in light:
+        rows = rows.union(done)
 
     def take(table: pa.Table) -> pa.RecordBatch:
-        turn, u, v, width = (table[c].to_numpy().astype(np.int64) for c in ("turn", "u", "v", "width"))
-        head, bits = table["head"].to_numpy(), table["bits"].to_numpy().view(np.uint64)
+        turn, depth, u, v = (table[c].to_numpy().astype(np.int64) for c in unit)
+        bits = table["bits"].to_numpy().view(np.uint64)
         new = np.ones(len(bits), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in (turn, head, u, v)], axis=0)
+        new[1:] = np.any([c[1:] != c[:-1] for c in (turn, depth, u, v)], axis=0)
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(bits))
-        depth = np.where(u[lo] < 0, width[lo], width[lo] + deeper)
         # in a unit of two nodes, the rows of v follow those of u
-        shift = (64 - width - deeper).astype(np.uint64)
-        of_v = np.concatenate([[0], np.cumsum((u != v) & (((bits >> shift) & np.uint64((1 << deeper) - 1)).astype(np.int64) == v))])
+        of_v = np.concatenate([[0], np.cumsum((u != v) & ((bits >> (64 - depth).astype(np.uint64)).astype(np.int64) == v))])
         mid = hi - (of_v[hi] - of_v[lo])
         two = u[lo] != v[lo]
-        start = np.stack([lo, np.where(two, mid, hi), np.where(two, mid, lo), hi, two.astype(np.int64), turn[lo]], 1)
+        start = np.stack([lo, np.where(two, mid, hi), np.where(two, mid, lo), hi, np.bitwise_count(u[lo] ^ v[lo]), turn[lo]], 1)
         keep = np.where(two, (mid > lo) & (hi > mid), hi - lo > 1)
-        label = link_units(bits, start[keep], depth[keep], budgets, max_bits)
+        label = link_units(bits, start[keep].astype(np.int64), depth[lo][keep], budgets, max_bits)
         at = np.flatnonzero(label != np.arange(len(bits)))
         back = np.array(edges[:-1])[turn[at]].astype(np.uint64)
         undo = lambda x: np.where(back > 0, (x >> back) | (x << (np.uint64(64) - np.maximum(back, np.uint64(1)))), x).view(np.int64)
@@ -267,8 +284,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df``'s rows that stand first (by id) in their component."""
-    carry = [c for c in df.columns if c != id_col]
-    return near_duplicates(df, id_col, text_col, carry=carry, **options).where("__first").select(*df.columns)
+    own, now, restore = shielded(df)
+    carry = [c for c in own.columns if c != now[id_col]]
+    rows = near_duplicates(own, now[id_col], now[text_col], carry=carry, **options)
+    return restore(rows.where("__first").select(*own.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
