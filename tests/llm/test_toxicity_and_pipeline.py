@@ -64,6 +64,25 @@ def test_stages_on_edge_rows(spark, edge_docs, no_docs):
             docs = out
 
 
+def test_own_columns_named_like_inner_ones_are_carried(spark, edge_docs):
+    """Each filtering stage keeps them as they are: none is overwritten, none makes it fail."""
+    from pyspark.sql import functions as F
+    docs = edge_docs.select("doc_id", "text", "lang")
+    names = ["__row", "__TEXT", "__features", "__probability", "__raw", "__level", "__score", "__fp", "__first", "__least", "__runs",
+             "__n_lines", "odd.name", "odd name", "own___row"]
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs = write_table(docs, "test-clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            own = "none" if r[0] is None else str(r[0])
+            assert list(r)[3:] == [f"{c} of {own}" for c in names], name
+
+
 def test_decisions_take_effect(spark):
     passage = " ".join(f"shared{i}" for i in range(55))
     given = spark.read.parquet(f"{SF_MID}/documents.parquet")

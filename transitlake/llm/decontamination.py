@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import documents, write_table
+from transitlake.llm.common import documents, shielded, write_table
 from transitlake.sources.tables import read_table
 
 # Arrays are exploded with the outer form throughout: for the inner one Spark
@@ -168,9 +168,10 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
 def clean(df: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``df``'s rows that no benchmark item leaks into."""
-    marked, found = leaks(df, items, text_col, **options)
+    own, now, restore = shielded(df)
+    marked, found = leaks(own, items, now[text_col], **options)
     bad = write_table(found.select("__row").distinct(), "leaks")
-    return marked.join(bad, "__row", "left_anti").select(*df.columns)
+    return restore(marked.join(bad, "__row", "left_anti").select(*own.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

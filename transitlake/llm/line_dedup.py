@@ -24,7 +24,7 @@ have at most ``min_words`` lines, which bounds the doublings.
 
 Rows: null and empty texts have no lines and stay as they are; repeated rows
 and repeated or null ids are told apart by a row number (nulls come first);
-extra columns are carried by ``clean``.
+extra columns are carried by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import bounded_batches, documents, text_slices, write_table
+from transitlake.llm.common import bounded_batches, documents, shielded, text_slices, write_table
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS = 30
@@ -173,8 +173,9 @@ def _cleaned(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with later copies deleted from its texts; texts that had words
     and have none left are dropped as rows."""
-    rows = _cleaned(df, id_col, text_col, min_words).where("__n_removed < __n_lines or __n_lines = 0")
-    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    own, now, restore = shielded(df)
+    rows = _cleaned(own, now[id_col], now[text_col], min_words).where("__n_removed < __n_lines or __n_lines = 0")
+    return restore(rows.select(*[F.col("__text").alias(c) if c == now[text_col] else F.col(c) for c in own.columns]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import documents, map_texts, write_table
+from transitlake.llm.common import documents, map_texts, shielded, write_table
 from transitlake.sources.tables import read_table
 
 # fixed values: second-person words of the corpus's languages
@@ -240,8 +240,9 @@ def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list[str] |
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    rows = scored(spark, docs, sf_dir, carry=[c for c in docs.columns if c != "doc_id"])
-    return rows.where(F.col("__score") < threshold).select(*docs.columns)
+    own, _, restore = shielded(docs)
+    rows = scored(spark, own, sf_dir, carry=[c for c in own.columns if c != "doc_id"])
+    return restore(rows.where(F.col("__score") < threshold).select(*own.columns))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
