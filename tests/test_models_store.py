@@ -86,6 +86,34 @@ def test_daily_counts_stream(spark):
     assert got == p.count()
 
 
+def test_a_replayed_stream_batch_adds_no_row(spark):
+    """The stream is stopped after a batch was stored but before it was noted as
+    done: the restart runs the batch again.  New files are appended once."""
+    from transitlake.sources import fixtures as X, store
+    d = tempfile.mkdtemp(prefix="tl-sink-", dir="/tmp")
+    rows = X.predictions(spark, "/root/testdata/sf0.001")
+    early = F.col("id").cast("long") % 3 > 0
+    rows.where(early).write.parquet(f"{d}/in")
+    store.create_tables(spark, f"{d}/store")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{d}/in")
+    run = lambda: store.append_stream(stream(), f"{d}/store", "s", f"{d}/ckpt").awaitTermination()
+    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+    run()
+    assert ids(store.read_predictions(spark, f"{d}/store")) == ids(rows.where(early))
+    for name in os.listdir(f"{d}/ckpt/commits"):
+        if name.strip(".").startswith("0"):
+            os.remove(f"{d}/ckpt/commits/{name}")
+    run()
+    assert ids(store.read_predictions(spark, f"{d}/store")) == ids(rows.where(early))
+    rows.where(~early).write.mode("append").parquet(f"{d}/in")
+    run()
+    assert ids(store.read_predictions(spark, f"{d}/store")) == ids(rows)
+    user = rows.where("user_id is not null").first().user_id
+    store.delete_user_predictions(spark, f"{d}/store", user)
+    assert ids(store.read_predictions(spark, f"{d}/store")) == ids(rows.where(F.col("user_id") != user))
+    assert store.read_predictions(spark, f"{d}/store", user).count() == 0
+
+
 def test_boosted_models_are_fitted_at_their_configured_sizes(spark, monkeypatch):
     from tests.conftest import SF_SMALL
     from transitlake.operators import experiments as EX

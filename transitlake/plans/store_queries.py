@@ -43,6 +43,23 @@ def q_store_delete_user(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.min(F.col("id").cast("long")).alias("min_id"))
 
 
+def q_store_stream_replayed(spark, sf_dir):
+    """The history as three batches of a stream, the last two run again as after
+    a failure, beside a batch append; then one user deleted; read back."""
+    root = _fresh(spark, "store")
+    store.create_tables(spark, root)
+    rows = _history(spark, sf_dir)
+    part = F.col("id").cast("long") % 4
+    store.append_rows(root, rows.where(part == 3))
+    for number in (0, 1, 2, 1, 2):
+        store.write_batch(root, rows.where(part == number), "uploads", number)
+    store.delete_user_predictions(spark, root, DELETED)
+    left = store.read_predictions(spark, root)
+    return round_doubles(left.groupBy(F.coalesce("user_id", F.lit("-")).alias("user_id"), "prediction").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("id").cast("long")).alias("sum_id"),
+        F.sum("confidence").alias("sum_confidence")))
+
+
 def q_store_append_scored(spark, sf_dir):
     """Two scored batches appended for two users; one user's view of them."""
     root = _fresh(spark, "store")
@@ -105,6 +122,7 @@ def q_non_finite(spark, sf_dir):
 QUERIES = {
     "store_delete_user": q_store_delete_user,
     "store_append_scored": q_store_append_scored,
+    "store_stream_replayed": q_store_stream_replayed,
     "score_contract": q_score_contract,
     "exact_duplicates": q_exact_duplicates,
     "non_finite": q_non_finite,
@@ -121,6 +139,13 @@ SELECT 'u1' AS user_id, prediction, count(*) AS n_rows, round(sum(CAST(event_id
 FROM (SELECT *, CASE event_type WHEN 'error' THEN 'FALSE POSITIVE' WHEN 'purchase' THEN 'CONFIRMED'
                                 WHEN 'signup' THEN 'CONFIRMED' ELSE 'CANDIDATE' END AS prediction FROM events) p
 WHERE event_id % 2 = 1 GROUP BY prediction""",
+    "store_stream_replayed": f"""
+SELECT user_id, prediction, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS sum_id,
+       round(sum(CAST(event_id % 101 AS DOUBLE)), 6) AS sum_confidence
+FROM (SELECT *, CASE event_type WHEN 'error' THEN 'FALSE POSITIVE' WHEN 'purchase' THEN 'CONFIRMED'
+                                WHEN 'signup' THEN 'CONFIRMED' ELSE 'CANDIDATE' END AS prediction FROM
+      (SELECT event_id, event_type, CASE WHEN event_id % 10 = 0 THEN '-' ELSE CAST(user_id AS VARCHAR) END AS user_id FROM events)) p
+WHERE user_id <> '{DELETED}' GROUP BY 1, 2""",
     "score_contract": with_(CANDIDATES, """
 SELECT row_id, CASE WHEN row_id % 10 = 0 THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_rows,
        round(merged_ra, 6) AS original_ra, 'x' AS original_note, 1 AS sums_to_one,

@@ -4,6 +4,13 @@ Layout: ``predictions`` is partitioned by ``user_bucket`` (a hash bucket
 of user_id) so a per-user read prunes to one folder, and a per-user
 delete rewrites only that folder (dynamic partition overwrite).  Appends
 are one batch write per scored batch - never a request per row.
+
+Streams write to ``predictions_streamed``, partitioned further by stream and
+batch number.  A batch that is run again (Structured Streaming replays the
+batch that was under way at a failure, with the same rows) overwrites its own
+partitions only, so each row is stored exactly once.  Reads and deletes cover
+both tables.  A batch leaves up to 64 files, so triggers should be minutes
+rather than seconds apart.
 """
 
 from __future__ import annotations
@@ -20,6 +27,9 @@ USER_BUCKETS = 64
 STORED_SCHEMA = T.StructType(list(PREDICTIONS_SCHEMA.fields)
                              + [T.StructField("user_bucket", T.IntegerType())])
 
+STREAMED_SCHEMA = T.StructType(list(STORED_SCHEMA.fields) + [T.StructField("stream", T.StringType()),
+                                                             T.StructField("batch", T.LongType())])
+
 
 def user_bucket(user_col="user_id"):
     return F.pmod(F.xxhash64(F.col(user_col)), F.lit(USER_BUCKETS)).cast("int")
@@ -50,6 +60,27 @@ def append_rows(root: str, rows: DataFrame) -> None:
      .write.mode("append").partitionBy("user_bucket").parquet(f"{root}/predictions"))
 
 
+def _streamed(root: str) -> str:
+    return f"{root}/predictions_streamed"
+
+
+def write_batch(root: str, rows: DataFrame, stream: str, batch: int) -> None:
+    """Store the history rows of one batch of a stream; running it again with
+    the same rows replaces them."""
+    (rows.select(*[F.col(f.name).cast(f.dataType) for f in PREDICTIONS_SCHEMA.fields])
+     .withColumns({"user_bucket": user_bucket(), "stream": F.lit(stream), "batch": F.lit(batch).cast("long")})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("user_bucket", "stream", "batch").parquet(_streamed(root)))
+
+
+def append_stream(rows: DataFrame, root: str, stream: str, checkpoint: str, **trigger):
+    """Start a query that appends a stream of history rows (PREDICTIONS_SCHEMA
+    names) exactly once.  ``stream`` names it in the store: one name per
+    checkpoint folder, as batch numbers start anew with a new one."""
+    return (rows.writeStream.foreachBatch(lambda batch, number: write_batch(root, batch, stream, number))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def append_predictions(spark: SparkSession, root: str, scored: DataFrame, user_id: str,
                        model_name: str) -> None:
     """Append one scored batch (A4): id, user, timestamps, features map,
@@ -71,6 +102,8 @@ def read_predictions(spark: SparkSession, root: str, user_id: str | None = None)
     """Read the table; with a user the bucket filter prunes partitions and
     the user filter is pushed into the scan (A3, A8)."""
     df = spark.read.schema(STORED_SCHEMA).parquet(f"{root}/predictions")
+    if _exists(spark, _streamed(root)):
+        df = df.unionByName(spark.read.schema(STREAMED_SCHEMA).parquet(_streamed(root)).drop("stream", "batch"))
     if user_id is not None:
         df = df.where((F.col("user_bucket") == _bucket_of(spark, user_id))
                       & (F.col("user_id") == F.lit(str(user_id))))
@@ -106,6 +139,27 @@ def delete_user_predictions(spark: SparkSession, root: str, user_id: str) -> Non
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
         _remove(spark, stage)
+    if _exists(spark, _streamed(root)):
+        _delete_streamed(spark, root, user_id)
+
+
+def _delete_streamed(spark: SparkSession, root: str, user_id: str) -> None:
+    """Rewrite the batches of the user's bucket that hold rows of the user; a
+    batch of no other user's rows goes with its folder."""
+    path, parts = _streamed(root), ["stream", "batch"]
+    bucket = spark.read.schema(STREAMED_SCHEMA).parquet(path).where(F.col("user_bucket") == _bucket_of(spark, user_id))
+    theirs = F.col("user_id").eqNullSafe(F.lit(str(user_id)))
+    touched = bucket.groupBy("user_bucket", *parts).agg(F.max(theirs).alias("holds"), F.min(theirs).alias("only")).where("holds")
+    folders = touched.collect()  # names of batches, not rows
+    stage = f"{root}/_staging/{uuid.uuid4().hex}"
+    keep = bucket.join(touched.select(*parts), parts, "left_semi").where(~theirs)
+    keep.select(*STREAMED_SCHEMA.names).write.mode("overwrite").parquet(stage)
+    (spark.read.schema(STREAMED_SCHEMA).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("user_bucket", *parts).parquet(path))
+    for r in folders:
+        if r.only:
+            _remove(spark, f"{path}/user_bucket={r.user_bucket}/stream={r.stream}/batch={r.batch}")
+    _remove(spark, stage)
 
 
 def _drop_bucket(spark: SparkSession, path: str, bucket: int) -> None:
