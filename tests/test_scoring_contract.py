@@ -40,6 +40,29 @@ def test_equal_ids_do_not_multiply(spark, forest):
     assert score(forest, up).count() == 4
 
 
+def test_rows_of_one_partition_are_dealt(spark, forest):
+    from transitlake.operators.scoring import score
+    up = spark.range(0, 400, 1, 1).select(F.col("id").alias("row_id"), F.lit("UNKNOWN").alias("mission"),
+                                          F.col("id").cast("double").alias("merged_koi_period"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # would join partitions as small as these
+    spark.conf.set(key, "false")
+    try:
+        sizes = score(forest, up).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(key, "true")
+    assert len(sizes) == 4 and sum(r["count"] for r in sizes) == 400
+
+
+def test_vectors_of_many_zeros_score_as_dense_ones(spark, forest):
+    from pyspark.ml.functions import vector_to_array
+    up = spark.range(60).select("id", *[F.when(F.col("id") % 7 > i, F.col("id") * (i + 1.0)).otherwise(0.0).alias(f)
+                                        for i, f in enumerate(forest.prep.features)])
+    packed = forest.models[0].setProbabilityCol("p").transform(forest.prep.transform(up))
+    assert "SparseVector" in {type(r.features).__name__ for r in packed.select("features").collect()}
+    want = {r.id: r.p for r in packed.select("id", vector_to_array("p").alias("p")).collect()}
+    assert {r.id: r.probabilities for r in forest.transform(up).collect()} == want
+
+
 def test_score_stream_starts(spark, forest):
     from transitlake.streaming.scoring_stream import score_stream
     d = tempfile.mkdtemp(prefix="tl-stream-", dir="/tmp")

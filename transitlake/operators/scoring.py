@@ -4,6 +4,9 @@ One lazy plan from the input scan to the write: map columns -> prefix ->
 survey tag -> clean -> features -> align -> predict -> probabilities,
 confidence, features map, habitability.  Scoring never deduplicates
 (quirk Q13) and every output row keeps its input ``row_id``.
+
+A forest costs a row many times what reading it costs, and a scan makes few
+tasks of a small file or of large row groups: a batch is dealt evenly first.
 """
 
 from __future__ import annotations
@@ -54,6 +57,8 @@ def score(model: ClassifierModel, unified: DataFrame, originals: int = 5) -> Dat
     """Predictions for every input row (K11): one projection of the input, so
     as many rows come out as go in whatever their ids, and it runs on streams.
     Features that the input lacks are NULL (B15)."""
+    if not unified.isStreaming:
+        unified = unified.hint("rebalance")
     own = [c for c in unified.columns if c.startswith(ORIGINAL)]
     if not own and originals:
         first = [c for c in unified.columns if c not in (ROW_ID, MISSION)][:originals]
