@@ -65,3 +65,30 @@ def test_single_row_classes_and_empty_tables(spark):
     assert OS.oversample(df.where("false"), "label", ["x"]).count() == 0
     even = df.where("row_id in (1, 2)")
     assert OS.oversample(even, "label", ["x"]).where(F.col("copy").isNotNull()).count() == 0
+
+
+def test_points_are_compared_with_near_ones_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(4000, 3))
+    compared, seen = 0, []
+    for rows, some in OS.groups(x, x, np.ones(len(x), "i8"), 5):
+        seen += rows.tolist()
+        compared += len(rows) * len(some)
+        d = OS._squares(x[rows], x)
+        nearest = np.argsort(d, axis=1, kind="stable")[:, :6]
+        assert np.isin(nearest, some).all()
+    assert sorted(seen) == list(range(len(x))) and compared < 0.2 * len(x) ** 2
+    tree = OS.cuts(x[:200], 8, 2)
+    parts = OS.parts_of(x, tree)
+    of = {c: (x[r].min(axis=0), x[r].max(axis=0), 0.001) for c, r in parts.items()}
+    found = dict(OS.reached(x, OS.boxes(tree, of)))
+    assert all(np.array_equal(found[c], np.flatnonzero(OS._gaps(x, *of[c][:2]) <= 0.001)) for c in parts)
+
+
+def test_equal_distances_go_by_id_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(OS, "CELL_POINTS", 20)
+    made = [(i * 37 % 343, "a", float(i % 7), float(i // 7 % 7), float(i // 49)) for i in range(343)]
+    df = spark.createDataFrame(made, "row_id long, label string, x double, y double, z double")
+    want = plain(made, 5)
+    near = {tuple(r.vec): [e.id for e in r.near] for r in OS.class_neighbours(df, "label", ["x", "y", "z"]).collect()}
+    assert all([j for j in near[tuple(v)] if j != i][:5] == want[i] for i, _, *v in made)

@@ -12,17 +12,22 @@ all pairs:
 
 1. Equal feature vectors of a class become one point that keeps its first k + 1
    row ids, so a group of copies costs one point.
-2. Points go to the nearest of some pivots (points taken in hash order).  A
-   pivot's cell has a radius U, and D is the distance from the pivot within which
-   k + 1 rows lie.  A row of the cell has k + 1 rows within U + D, so by the
-   triangle inequality only points within 2 U + D of the pivot can be its
-   neighbours: exactly those are sent to the cell.
+2. Points are dealt to cells by cuts at medians of some of them (taken in hash
+   order), as in a k-d tree.  A cell's own points give each of them k + 1 rows
+   within some distance; the largest of these is the cell's reach.  Only points
+   within the reach of the cell's box can be neighbours: exactly those are sent.
 3. Cells are searched side by side.  The points of a large cell are dealt over
-   several tasks, each with the cell's candidates.
+   several tasks, each with the cell's candidates.  A task cuts its candidates
+   in the same way and compares a group of points with those within its reach.
+
+A box is never farther than a point in it, after rounding too: the squares of
+the gaps are added up in the order of the features as those of the points are.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,10 +37,13 @@ from transitlake.operators.sampling import order_key, select_by_quota
 from transitlake.schema import ROW_ID
 from transitlake.sources.materialize import materialize
 
-CELL_POINTS = 1000  # aimed at; more pivots than MAX_PIVOTS are not taken
-MAX_PIVOTS = 1024
+CELL_POINTS = 1000  # aimed at; a class has some 2 * MAX_CELLS cells at most
+MAX_CELLS = 4096
+SAMPLE = 8  # points a cell that the cuts are taken from
+LEAF = 64  # points that a task compares with the same candidates
 TASK_POINTS = 20_000
 CHUNK = 1 << 21  # distances held at once
+SENT = 1 << 16  # rows of a batch
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,6 +59,85 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of x from a box."""
+    out = np.zeros(len(x))
+    for f in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[f] - x[:, f], x[:, f] - high[f]), 0)
+        out += gap * gap
+    return out
+
+
+def cuts(x: np.ndarray, size: int, least: int, number=None):
+    """Nested (feature, value, low side, high side); a part that has at most
+    ``size`` points, or no cut that leaves ``least`` on both sides, is a number."""
+    number = count() if number is None else number
+    if len(x) > size:
+        for f in np.argsort(x.min(axis=0) - x.max(axis=0), kind="stable"):
+            column = x[:, f]
+            value = np.partition(column, (len(x) - 1) // 2)[(len(x) - 1) // 2]
+            if (column > value).sum() < least and (column < value).any():
+                value = column[column < value].max()
+            low = column <= value
+            if least <= low.sum() <= len(x) - least:
+                return int(f), float(value), cuts(x[low], size, least, number), cuts(x[~low], size, least, number)
+    return next(number)
+
+
+def parts_of(x: np.ndarray, tree) -> dict[int, np.ndarray]:
+    """Part -> its rows of x, for the parts that have any."""
+    out, todo = {}, [(tree, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        if not isinstance(node, tuple):
+            out[node] = rows
+            continue
+        f, value, low, high = node
+        goes = x[rows, f] <= value
+        todo += [(side, r) for side, r in ((low, rows[goes]), (high, rows[~goes])) if len(r)]
+    return out
+
+
+def boxes(tree, of: dict):
+    """(low, high, reach, part, sides) of every node of a tree from those of its
+    parts, ``of``: part -> (low, high, reach); None without points."""
+    if not isinstance(tree, tuple):
+        return (*of[tree], tree, ()) if tree in of else None
+    sides = [s for s in (boxes(t, of) for t in tree[2:]) if s]
+    if len(sides) < 2:
+        return sides[0] if sides else None
+    a, b = sides
+    return np.minimum(a[0], b[0]), np.maximum(a[1], b[1]), max(a[2], b[2]), None, sides
+
+
+def reached(x: np.ndarray, box) -> list[tuple[int, np.ndarray]]:
+    """(part, rows of x within its reach)."""
+    out, todo = [], [(box, np.arange(len(x)))] if box else []
+    while todo:
+        (low, high, reach, part, sides), rows = todo.pop()
+        rows = rows[_gaps(x[rows], low, high) <= reach]
+        if len(rows):
+            out += [] if sides else [(part, rows)]
+            todo += [(s, rows) for s in sides]
+    return out
+
+
+def _edge(d: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k + 1 st smallest entry; infinite where there are fewer."""
+    return np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(d), np.inf)
+
+
+def groups(q: np.ndarray, c: np.ndarray, times: np.ndarray, k: int):
+    """The rows of q in groups, each with the rows of c (``times`` rows of the
+    table each) among which the k + 1 nearest of all its rows lie."""
+    tree = cuts(c, LEAF, k + 1)
+    near = parts_of(c, tree)
+    for part, rows in parts_of(q, tree).items():
+        some = near[part]
+        reach = _edge(np.repeat(_squares(q[rows], c[some]), times[some], axis=1), k).max()
+        yield rows, np.flatnonzero(_gaps(c, q[rows].min(axis=0), q[rows].max(axis=0)) <= reach)
+
+
 def points(df: DataFrame, label: str, features: list[str], row_id: str, k: int) -> DataFrame:
     """class, vec, ids: the distinct vectors of each class with the first
     k + 1 ids of their rows."""
@@ -66,85 +153,98 @@ def class_neighbours(df: DataFrame, label: str, features: list[str], row_id: str
     width = len(features)
     pts = materialize(points(df, label, features, row_id, k), "knn_points")
     sizes = {r["class"]: r["n"] for r in pts.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pivots = {}
+    trees = {}
     for c, n in sizes.items():
-        take = min(MAX_PIVOTS, max(1, n // CELL_POINTS))
-        rows = pts.where(F.col("class").eqNullSafe(c)).orderBy(F.md5(F.col("ids")[0].cast("string")), F.col("ids")[0]).limit(take).collect()
-        pivots[c] = np.array([r.vec for r in rows], float)
+        cells = min(MAX_CELLS, max(1, n // CELL_POINTS))
+        some = (pts.where(F.col("class").eqNullSafe(c)).orderBy(F.md5(F.col("ids")[0].cast("string")), F.col("ids")[0])
+                .limit(cells * SAMPLE).select("vec").toArrow().column("vec").combine_chunks())
+        trees[c] = cuts(_matrix(some, width), SAMPLE, 2) if cells > 1 else 0
     kind = pts.schema["class"].dataType.simpleString()
     id_kind = pts.schema["ids"].dataType.elementType.simpleString()
 
+    def rows_of(batch):
+        """Class -> its rows of a batch."""
+        classes = batch.column("class").to_pylist()
+        return {c: np.flatnonzero([v == c for v in classes]) for c in set(classes)}
+
     def assign(batches):
         for batch in batches:
-            x, classes = _matrix(batch.column("vec"), width), batch.column("class").to_pylist()
-            cell, far = np.zeros(len(x), "i4"), np.zeros(len(x))
-            for c in set(classes):
-                mine = np.flatnonzero([v == c for v in classes])
-                d = _squares(x[mine], pivots[c])
-                cell[mine], far[mine] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
-
-    dealt = materialize(pts.mapInArrow(assign, f"class {kind}, vec array<double>, ids array<{id_kind}>, cell int, far double"), "knn_cells")
-
-    def closest(batches):
-        """Per pivot the k + 1 nearest rows' distances within a task."""
-        held: dict = {}
-        for batch in batches:
-            x, classes = _matrix(batch.column("vec"), width), batch.column("class").to_pylist()
-            times = np.array([len(i) for i in batch.column("ids").to_pylist()])
-            for c in set(classes):
-                mine = np.flatnonzero([v == c for v in classes])
-                d = np.repeat(np.sqrt(_squares(pivots[c], x[mine])), times[mine], axis=1)
-                d = np.concatenate([held[c], d], axis=1) if c in held else d
-                held[c] = np.sort(d, axis=1)[:, :k + 1]
-        for c, d in held.items():
-            yield pa.RecordBatch.from_pylist([{"class": c, "cell": i, "d": v} for i, row in enumerate(d.tolist()) for v in row], schema=near_schema)
-
-    near_schema = pa.schema([pts.select("class").limit(0).toArrow().schema.field("class"), ("cell", pa.int32()), ("d", pa.float64())])
-    rank = F.row_number().over(Window.partitionBy("class", "cell").orderBy("d"))
-    within = (dealt.select("class", "vec", "ids").mapInArrow(closest, f"class {kind}, cell int, d double")
-              .withColumn("_r", rank).where(F.col("_r") <= k + 1).groupBy("class", "cell").agg(F.max("d").alias("d")))
-    cells = dealt.groupBy("class", "cell").agg(F.max("far").alias("u"), F.count(F.lit(1)).alias("n")).join(within, ["class", "cell"])
-    reach, parts = {c: np.full(len(p), -1.0) for c, p in pivots.items()}, {c: np.ones(len(p), "i4") for c, p in pivots.items()}
-    for r in cells.collect():  # a row per pivot
-        reach[r["class"]][r.cell] = (2 * r.u + r.d) * (1 + 1e-9)
+            x, cell = _matrix(batch.column("vec"), width), np.zeros(batch.num_rows, "i4")
+            for c, mine in rows_of(batch).items():
+                for number, rows in parts_of(x[mine], trees[c]).items():
+                    cell[mine[rows]] = number
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    dealt = materialize(pts.mapInArrow(assign, f"class {kind}, vec array<double>, ids array<{id_kind}>, cell int"), "knn_cells")
+
+    def bound(table: pa.Table) -> pa.Table:
+        """A cell's points, box and reach."""
+        x = _matrix(table.column("vec").combine_chunks(), width)
+        times = np.array([len(i) for i in table.column("ids").to_pylist()], "i8")
+        reach = max(_edge(np.repeat(_squares(x[rows], x[some]), times[some], axis=1), k).max() for rows, some in groups(x, x, times, k))
+        made = {"n": pa.array([len(x)], pa.int64()), "low": pa.array([x.min(axis=0).tolist()], pa.list_(pa.float64())),
+                "high": pa.array([x.max(axis=0).tolist()], pa.list_(pa.float64())), "reach": pa.array([float(reach)], pa.float64())}
+        return pa.table({"class": table.column("class").slice(0, 1), "cell": table.column("cell").slice(0, 1), **made})
+
+    bounds = materialize(dealt.groupBy("class", "cell").applyInArrow(
+        bound, f"class {kind}, cell int, n long, low array<double>, high array<double>, reach double"), "knn_bounds")
+    of: dict = {c: {} for c in sizes}
+    parts: dict = {c: {} for c in sizes}
+    for r in bounds.collect():  # a row per cell
+        of[r["class"]][r.cell] = np.array(r.low), np.array(r.high), r.reach
         parts[r["class"]][r.cell] = -(-r.n // TASK_POINTS)
+    tops = {c: boxes(t, of[c]) for c, t in trees.items()}
 
     def send(batches):
         """Each point to every (cell, part) that may need it."""
         for batch in batches:
-            x, classes = _matrix(batch.column("vec"), width), batch.column("class").to_pylist()
-            for c in set(classes):
-                mine = np.flatnonzero([v == c for v in classes])
-                row, cell = np.nonzero(np.sqrt(_squares(x[mine], pivots[c])) <= reach[c])
-                n = parts[c][cell]
-                row, cell = np.repeat(mine[row], n), np.repeat(cell, n)
-                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(3)), pa.array(cell.astype("i4")),
-                                                  pa.array(part.astype("i4"))], names=["class", "vec", "ids", "cell", "part"])
+            x = _matrix(batch.column("vec"), width)
+            for c, mine in rows_of(batch).items():
+                found = reached(x[mine], tops[c])
+                n = np.array([parts[c][cell] for cell, _ in found])
+                size = np.array([len(rows) for _, rows in found])
+                row = np.concatenate([np.tile(mine[rows], m) for (_, rows), m in zip(found, n)])
+                cell = np.repeat(np.array([cell for cell, _ in found], "i4"), size * n)
+                part = np.concatenate([np.repeat(np.arange(m, dtype="i4"), s) for m, s in zip(n, size)])
+                for at in range(0, len(row), SENT):
+                    upto = slice(at, at + SENT)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[upto])) for i in range(3)), pa.array(cell[upto]),
+                                                      pa.array(part[upto])], names=["class", "vec", "ids", "cell", "part"])
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         q, c = (_matrix(t.column("vec").combine_chunks(), width) for t in (queries, candidates))
         ids = [(i, row) for row, many in enumerate(candidates.column("ids").to_pylist()) for i in many]
         ids.sort(key=lambda e: e[0])
         place = np.array([row for _, row in ids], "i8")  # rows in the order of their ids
-        near = []
-        step = max(1, CHUNK // max(1, len(place)))
-        for s in range(0, len(q), step):
-            d = _squares(q[s:s + step], c)[:, place]
-            last = min(k, d.shape[1] - 1)
-            edge = np.partition(d, last, axis=1)[:, last]
-            for row, limit in zip(d, edge):
-                some = np.flatnonzero(row <= limit)
-                some = some[np.argsort(row[some], kind="stable")][:k + 1]
-                near.append([{"id": ids[j][0], "vec": c[place[j]].tolist()} for j in some])
-        return pa.table({"class": queries.column("class"), "vec": queries.column("vec"), "near": pa.array(near, near_type)})
+        owner, picked = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+        for rows, some in groups(q, c, np.bincount(place, minlength=len(c)), k):
+            keep = np.zeros(len(c), bool)
+            keep[some] = True
+            own = np.flatnonzero(keep[place])
+            step = max(1, CHUNK // max(1, len(own)))
+            for s in range(0, len(rows), step):
+                d = _squares(q[rows[s:s + step]], c[some])[:, np.searchsorted(some, place[own])]
+                row, at = np.nonzero(d <= _edge(d, k)[:, None])
+                order = np.lexsort((d[row, at], row))  # stable: ties by id
+                row, at = row[order], at[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) <= k
+                owner.append(rows[s:s + step][row[first]])
+                picked.append(own[at[first]])
+        owner, picked = np.concatenate(owner), np.concatenate(picked)
+        picked = picked[np.argsort(owner, kind="stable")]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(picked) + 1, dtype="i4") * width), pa.array(c[place[picked]].ravel()))
+        found = pa.StructArray.from_arrays([pa.array([ids[j][0] for j in picked], near_type.value_type.field(0).type), flat],
+                                           fields=list(near_type.value_type))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(q)))]).astype("i4")
+        return pa.table({"class": queries.column("class"), "vec": queries.column("vec"),
+                         "near": pa.ListArray.from_arrays(pa.array(ends), found, type=near_type)})
 
     near_type = pa.list_(pa.struct([pa.field("id", pts.select(F.col("ids")[0].alias("id")).limit(0).toArrow().schema.field("id").type),
                                     pa.field("vec", pa.list_(pa.float64()))]))
-    counts = F.create_map(*[x for c, p in parts.items() if c is not None for x in (F.lit(c), F.array(*[F.lit(int(v)) for v in p]))])
-    part = F.pmod(F.xxhash64("vec"), F.coalesce(F.get(counts[F.col("class")], F.col("cell")), F.lit(1))).cast("int")
-    queries = dealt.select("class", "vec", "cell", part.alias("part"))
+    b = bounds.select(F.col("class").alias("_c"), F.col("cell").alias("_cell"), F.ceil(F.col("n") / TASK_POINTS).alias("_parts"))
+    part = F.pmod(F.xxhash64("vec"), F.col("_parts")).cast("int")
+    queries = dealt.join(F.broadcast(b), F.col("class").eqNullSafe(F.col("_c")) & (F.col("cell") == F.col("_cell"))).select(
+        "class", "vec", "cell", part.alias("part"))
     sent = dealt.select("class", "vec", "ids").mapInArrow(send, f"class {kind}, vec array<double>, ids array<{id_kind}>, cell int, part int")
     keys = ["class", "cell", "part"]
     return queries.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(
