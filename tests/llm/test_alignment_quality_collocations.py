@@ -82,6 +82,28 @@ def test_alignment_of_odd_texts_and_many_blocks(spark):
     assert {r.doc_id: r.n_a for r in rows.collect()}[2] == 0  # U+2581 is not given back
 
 
+def test_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+    write, written = token_alignment.write_table, []
+    monkeypatch.setattr(token_alignment, "GROUP_BYTES", 1, raising=False)
+    monkeypatch.setattr(token_alignment, "write_table", lambda *a, **b: written.append(write(*a, **b)) or written[-1])
+    docs = [(i, f"quixotry number {i * 7919} hello world") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        rows, _ = token_alignment.alignment(df, BYTE, PIECE, block_bytes=100)
+    finally:
+        spark.conf.set(key, before)
+    of = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written[0].inputFiles()]
+    assert sum(m.num_rows for m in of) == written[0].count() > 1
+    assert all(m.row_group(i).num_rows == 1 for m in of for i in range(m.num_row_groups))  # a reader holds a row group
+    assert "collect_list" not in rows._jdf.queryExecution().toString()  # would hold the pairs of up to 128 blocks
+    cols = ["doc_id", *token_alignment.COUNTS[:4], "n_best", "count_sum"]
+    assert order(tuple(r) for r in rows.select(*cols).collect()) == order(r[:7] for r in plain_alignment(docs)[0])
+
+
 def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     sides = token_alignment._sides(BYTE, PIECE, 1000)
     texts = ["日本" * 40 + " quixotry" * 3, "x" * 500]

@@ -47,6 +47,7 @@ from transitlake.llm.sentencepiece_codec import MARK, ChunkCodec, model_path
 
 CUT = re.compile(r"([ \n])(?<=[!-~\w][ \n])(?=[!-~\w])")
 LARGE_GROUP = 4096  # links from which a group is counted by distinct ids at once
+GROUP_BYTES = 1 << 20  # of written blocks: a row group each, some 2 MB written but 40 MB as Spark reads it
 _SIDES: dict = {}
 
 
@@ -306,33 +307,30 @@ def pair_counts(made: DataFrame, width_b: int) -> DataFrame:
 
 
 def link_sums(made: DataFrame, counts: DataFrame) -> DataFrame:
-    """A row per document: id, counts, groups, n_best, count_sum."""
-    known = (made.select("block", F.posexplode("pairs").alias("i", "pair")).join(counts.select("pair", "count", "best"), "pair")
-             .groupBy("block").agg(F.collect_list(F.struct("i", "count", "best")).alias("known")))
-    rows = made.drop("pairs", "documents").join(known, "block", "left")
+    """A row per document: id, counts, groups, n_best, count_sum.  A block meets
+    its pairs as a group, sorted and streamed: no task lists many blocks' pairs."""
+    known = (made.select(F.col("block").alias("of"), F.posexplode("pairs").alias("i", "pair"))
+             .join(counts.select("pair", "count", "best"), "pair").select("of", "i", "count", "best"))
     kind = made.schema["ids"].dataType.elementType.simpleString()
     names = ["id", *COUNTS, "n_best", "count_sum", "groups"]
     schema = ", ".join([f"id {kind}", *(f"{c} long" for c in names[1:-1]), "groups string"])
 
-    def run(batches):
-        for batch in batches:
-            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            for k in range(batch.num_rows):
-                value = lambda c: column[c][k].values  # noqa: B023, E731
-                sizes, links, number = (value(c).to_numpy().astype("i8") for c in ("sizes", "links", "numbers"))
-                count, best = np.zeros((2, int(links.max(initial=-1)) + 1), "i8")
-                if len(links):
-                    i, c, top = value("known").flatten()
-                    place = i.to_numpy()
-                    count[place], best[place] = c.to_numpy(), top.to_numpy(zero_copy_only=False)
-                ends = np.cumsum(sizes)
-                sums = [np.append(0, np.cumsum(number * weight[links])) for weight in (best, count)]
-                yield pa.RecordBatch.from_arrays(
-                    [value("ids"), *(value(c) for c in COUNTS),
-                     *(pa.array(s[ends] - s[ends - sizes], pa.int64()) for s in sums), value("groups")], names=names)
-
-    order = ["ids", "block", *COUNTS, "groups", "sizes", "links", "numbers", "known"]
-    return rows.select(*order).mapInArrow(run, schema)
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        place = pairs["i"].to_numpy()
+        count, best = np.zeros((2, len(place)), "i8")
+        count[place], best[place] = pairs["count"].to_numpy(), pairs["best"].to_numpy()
+        made = []
+        for k in range(rows.num_rows):
+            value = lambda c: rows[c][k].values  # noqa: B023, E731
+            sizes, links, number = (value(c).to_numpy().astype("i8") for c in ("sizes", "links", "numbers"))
+            ends = np.cumsum(sizes)
+            sums = [np.append(0, np.cumsum(number * weight[links])) for weight in (best, count)]
+            made.append(pa.Table.from_arrays([value("ids"), *(value(c) for c in COUNTS),
+                                              *(pa.array(s[ends] - s[ends - sizes], pa.int64()) for s in sums), value("groups")], names=names))
+        return pa.concat_tables(made)
+
+    rows = made.select("ids", "block", *COUNTS, "groups", "sizes", "links", "numbers").groupBy("block")
+    return rows.cogroup(known.groupBy("of")).applyInArrow(run, schema)
 
 
 def alignment(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text", render: bool = False,
@@ -340,7 +338,8 @@ def alignment(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc
     """(a row per document: id, n_a, n_b, n_groups, n_links, n_overlaps, n_best,
     count_sum, groups), (a row per linked id pair: pair, a, b, count, best).
     ``groups`` is the text ``a1,a2|b1;a3|b2`` with ``render``, else its SHA-256."""
-    made = write_table(blocks(df, byte_file, piece_file, id_col, text_col, render, block_bytes, max_entries), "alignment-blocks")
+    made = write_table(blocks(df, byte_file, piece_file, id_col, text_col, render, block_bytes, max_entries), "alignment-blocks",
+                       group_bytes=GROUP_BYTES)
     width_b = _sides(byte_file, piece_file, max_entries).b.get_piece_size()
     counts = write_table(pair_counts(made, width_b), "alignment-pairs")
     return link_sums(made, counts).withColumnRenamed("id", id_col), counts
