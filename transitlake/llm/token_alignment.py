@@ -47,7 +47,7 @@ from transitlake.llm.sentencepiece_codec import MARK, ChunkCodec, model_path
 
 CUT = re.compile(r"([ \n])(?<=[!-~\w][ \n])(?=[!-~\w])")
 LARGE_GROUP = 4096  # links from which a group is counted by distinct ids at once
-GROUP_BYTES = 1 << 20  # of written blocks: a row group each, some 2 MB written but 40 MB as Spark reads it
+GROUP_BYTES = 1 << 20  # of written blocks: a row group each, as the reader holds a whole one decoded
 _SIDES: dict = {}
 
 
